@@ -101,19 +101,25 @@ def scoped_distribution(
         )
     )
 
-    known = fine.filter(value.isNotNull()).select(
+    # NULL ticks end up in a group without a count and leave after the aggregation.
+    # Filtering them earlier would be pushed into the scan and stop the reuse of
+    # the value counts by the summary.
+    digits_of = fine.select(
         *dims,
         F.shiftright(value, _HIGH).alias("_d1"),
         F.shiftright(value, _MIDDLE).alias("_d2"),
         value.alias("_d3"),
-        "_n",
+        valued.alias("_n"),
     )
 
-    def level(*digits):
-        narrowed = known.groupBy(*dims, *digits).agg(F.sum("_n").alias("_n"))
-        return expand_scopes(narrowed, scopes, dims).groupBy(*keys, *digits).agg(
-            F.sum("_n").alias("_n")
-        )
+    def level(*digits, reduce_first=True):
+        rows = digits_of
+        if reduce_first:
+            rows = rows.groupBy(*dims, *digits).agg(F.sum("_n").alias("_n"))
+        else:
+            rows = rows.select(*dims, *digits, "_n")
+        per_scope = expand_scopes(rows, scopes, dims).groupBy(*keys, *digits)
+        return per_scope.agg(F.sum("_n").alias("_n")).filter(F.col("_n").isNotNull())
 
     def within(counts, hits, *digits):
         marks = hits.select(
@@ -139,7 +145,9 @@ def scoped_distribution(
     first = _locate(level("_d1"), keys, "_d1", wanted).select(*keys, "_d1", "_wanted")
     second = _locate(within(level("_d1", "_d2"), first, "_d1"), [*keys, "_d1"], "_d2", wanted)
     second = second.select(*keys, "_d2", "_wanted")
-    third = _locate(within(level("_d2", "_d3"), second, "_d2"), [*keys, "_d2"], "_d3", wanted)
+    # The full value is already unique per finest group, so it is not reduced again.
+    values = level("_d2", "_d3", reduce_first=False)
+    third = _locate(within(values, second, "_d2"), [*keys, "_d2"], "_d3", wanted)
 
     exact = third.select(*keys, "_d3", F.explode("_wanted.slot").alias("_slot"))
     bounds = exact.groupBy(*keys).agg(

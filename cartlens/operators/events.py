@@ -30,10 +30,14 @@ def first_and_next_event(
 ) -> DataFrame:
     """First event per entity, the next strictly later one, and the repeat flag.
 
+    ``with_totals`` adds the id of the first event and the number of all events.
+
     Equal instants are merged first. The rank filter keeps two rows per entity and
     task before the shuffle, and the total is a partial aggregate, so an entity
     with a large part of all events costs no more than any other. Both sides end
-    up hash-partitioned by the entity and join without another shuffle.
+    up hash-partitioned by the entity and join without another shuffle. Both also
+    read the same columns of the merged events, so Spark computes those once and
+    reuses the exchange.
     """
     events = merge_simultaneous(df, entity, ts, event_id)
     ordered = Window.partitionBy(entity).orderBy(ts)
@@ -42,9 +46,8 @@ def first_and_next_event(
         {"next_ts": F.lead(ts).over(ordered), "next_id": F.lead("event_id").over(ordered)}
     ).filter("_rank = 1")
     limit = plus_days(F.col(ts), horizon_days)
-    result = pairs.select(
+    firsts = pairs.select(
         entity,
-        F.col("event_id").alias("first_id"),
         F.col(ts).alias("first_ts"),
         (F.col("event_rows") - 1).alias("simultaneous_rows"),
         "next_id",
@@ -53,9 +56,11 @@ def first_and_next_event(
         is_true((F.col("next_ts") > F.col(ts)) & (F.col("next_ts") <= limit)).alias("repeated"),
     )
     if not with_totals:
-        return result
-    totals = events.groupBy(entity).agg(F.sum("event_rows").alias("total_rows"))
-    return result.join(totals, entity)
+        return firsts
+    totals = events.groupBy(entity).agg(
+        F.min_by("event_id", ts).alias("first_id"), F.sum("event_rows").alias("total_rows")
+    )
+    return firsts.join(totals, entity)
 
 
 def cohort_maturity(

@@ -268,7 +268,8 @@ class StoredModel:
         return self.spark.read.parquet(f"{self.path}/{table}")
 
     def _chosen(self, table, columns, window, status) -> DataFrame:
-        fact = self._read(table)
+        # The partition value is a date unless every month is unknown.
+        fact = self._read(table).withColumn("purchase_month", F.col("purchase_month").cast("date"))
         if window is not None:
             start, end = window.analysis_start, window.analysis_end
             fact = fact.filter(

@@ -57,7 +57,7 @@ from cartlens.plans.staging import COLUMNS, stage_all, stage_table
 from cartlens.sources.order_star import STAR_CONFIG, read_star, star_tables, star_text_tables
 
 # Cut-off and horizon of the event-table sequence.
-EVENT_CUTOFF = dt.datetime(2024, 1, 31, 23, 59, 59)
+EVENT_CUTOFF = dt.datetime(2024, 1, 3, 6, 0, 0)
 EVENT_HORIZON_DAYS = 1
 
 

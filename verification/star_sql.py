@@ -8,7 +8,7 @@ from __future__ import annotations
 
 START, END = "DATE '1996-02-01'", "DATE '1997-07-31'"
 CUTOFF = "TIMESTAMP '1997-07-31 23:59:59'"
-EVENT_CUTOFF = "TIMESTAMP '2024-01-31 23:59:59'"
+EVENT_CUTOFF = "TIMESTAMP '2024-01-03 06:00:00'"
 MIN_STATE, MIN_GROUP = 30, 1
 
 
