@@ -27,42 +27,53 @@ from cartlens.operators.ranking import latest_row
 MONEY = "decimal(18,2)"
 DELIVERED, CANCELED = "delivered", "canceled"
 
-ORDER_COLUMNS = (
-    "order_id",
-    "customer_unique_id",
-    "customer_state",
-    "order_status",
-    "purchase_timestamp",
-    "purchase_date",
-    "purchase_month",
-    "item_count",
-    "merchandise_value",
-    "freight_value",
-    "payment_value",
-    "delivered_timestamp",
-    "estimated_delivery_timestamp",
-    "review_score",
-    "review_answer_timestamp",
-    "review_creation_date",
-    "delivery_days",
-    "delivery_eligible",
-    "review_eligible",
-    "review_before_delivery",
-    "is_late",
-)
-ITEM_COLUMNS = (
-    "order_id",
-    "order_item_id",
-    "product_id",
-    "category",
-    "customer_state",
-    "order_status",
-    "purchase_timestamp",
-    "purchase_date",
-    "purchase_month",
-    "price",
-    "freight_value",
-)
+# Declared layout of the written tables; nothing is inferred on reading.
+ORDER_SCHEMA = {
+    "order_id": "string",
+    "customer_unique_id": "string",
+    "customer_state": "string",
+    "order_status": "string",
+    "purchase_timestamp": "timestamp_ntz",
+    "purchase_date": "date",
+    "purchase_month": "date",
+    "item_count": "bigint",
+    "merchandise_value": MONEY,
+    "freight_value": MONEY,
+    "payment_value": MONEY,
+    "delivered_timestamp": "timestamp_ntz",
+    "estimated_delivery_timestamp": "timestamp_ntz",
+    "review_score": "int",
+    "review_answer_timestamp": "timestamp_ntz",
+    "review_creation_date": "timestamp_ntz",
+    "delivery_days": "double",
+    "delivery_eligible": "boolean",
+    "review_eligible": "boolean",
+    "review_before_delivery": "boolean",
+    "is_late": "boolean",
+}
+ITEM_SCHEMA = {
+    "order_id": "string",
+    "order_item_id": "int",
+    "product_id": "string",
+    "category": "string",
+    "customer_state": "string",
+    "order_status": "string",
+    "purchase_timestamp": "timestamp_ntz",
+    "purchase_date": "date",
+    "purchase_month": "date",
+    "price": MONEY,
+    "freight_value": MONEY,
+}
+TABLE_SCHEMAS = {
+    "fact_orders": ORDER_SCHEMA,
+    "fact_order_items": ITEM_SCHEMA,
+    "dim_date": {
+        "date": "date", "month_start": "date", "year": "bigint", "quarter": "bigint", "month": "bigint",
+    },
+    "dim_customer_state": {"customer_state": "string"},
+    "dim_category": {"category": "string"},
+}
+ORDER_COLUMNS, ITEM_COLUMNS = tuple(ORDER_SCHEMA), tuple(ITEM_SCHEMA)
 # Exact microseconds behind delivery_days; used for quantiles, not part of the written fact.
 DELIVERY_MICROS = "delivery_micros"
 
@@ -265,11 +276,11 @@ class StoredModel:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}")
+        schema = ", ".join(f"{name} {kind}" for name, kind in TABLE_SCHEMAS[table].items())
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
 
     def _chosen(self, table, columns, window, status) -> DataFrame:
-        # The partition value is a date unless every month is unknown.
-        fact = self._read(table).withColumn("purchase_month", F.col("purchase_month").cast("date"))
+        fact = self._read(table)
         if window is not None:
             start, end = window.analysis_start, window.analysis_end
             fact = fact.filter(
@@ -292,6 +303,9 @@ class StoredModel:
     def items(self, columns=ITEM_COLUMNS, window=None, status=None) -> DataFrame:
         return self._chosen("fact_order_items", columns, window, status)
 
+    def dimension(self, name: str) -> DataFrame:
+        return self._read(name)
+
     def states(self) -> DataFrame:
         return self._read("dim_customer_state")
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from cartlens.config import AnalysisConfig
@@ -40,6 +43,7 @@ from cartlens.sources.files import exists, read_json, write_json
 from cartlens.sources.results import export_csv, read_table, write_table
 
 RUN_ID = re.compile(r"r[0-9a-f]{32}")
+PARALLEL_JOBS = 6
 DIMENSIONS = ("dim_date", "dim_customer_state", "dim_category")
 
 
@@ -85,23 +89,33 @@ def _write_checks(checks: DataFrame, path: str, stage: str) -> DataFrame:
     return checks.sparkSession.read.parquet(f"{path}/quality/{stage}")
 
 
+def _together(spark: SparkSession, jobs: Iterable[Callable[[], object]]) -> list:
+    """Submit independent jobs at once, so that small ones do not wait for each other."""
+    with ThreadPoolExecutor(max_workers=PARALLEL_JOBS) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [job.result() for job in started]
+
+
 def _stored(spark: SparkSession, tables: Mapping[str, DataFrame], path: str) -> dict[str, DataFrame]:
     """Write tables and read them back: later plans start from files, not from lineage."""
-    for name, df in tables.items():
-        write_table(df, f"{path}/{name}")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in tables}
+    _together(spark, [partial(write_table, df, f"{path}/{name}") for name, df in tables.items()])
+    return {
+        name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()
+    }
 
 
 def build_model(staged: Mapping[str, DataFrame], config: AnalysisConfig, path: str) -> StoredModel:
     """Write facts and dimensions once. The facts are partitioned by purchase month."""
     lazy = StagedModel(dict(staged))
-    write_table(lazy.orders(), f"{path}/fact_orders", "purchase_month")
-    write_table(lazy.items(), f"{path}/fact_order_items", "purchase_month")
+    facts = {"fact_orders": lazy.orders(), "fact_order_items": lazy.items()}
+    members = {"dim_customer_state": lazy.states(), "dim_category": lazy.categories()}
+    _together(
+        lazy.spark,
+        [partial(write_table, df, f"{path}/{n}", "purchase_month") for n, df in facts.items()]
+        + [partial(write_table, df, f"{path}/{n}") for n, df in members.items()],
+    )
     stored = StoredModel(lazy.spark, path)
-    facts = stored.orders(["purchase_date"])
-    write_table(build_dates(facts, config), f"{path}/dim_date")
-    write_table(lazy.states(), f"{path}/dim_customer_state")
-    write_table(lazy.categories(), f"{path}/dim_category")
+    write_table(build_dates(stored.orders(["purchase_date"]), config), f"{path}/dim_date")
     return stored
 
 
@@ -139,12 +153,18 @@ def _execute(spark, raw, path, config, locations) -> dict:
     if not isinstance(raw, Mapping):
         files = (str(raw), locations)
         raw = read_sources(spark, str(raw), locations)
-    manifest = _stored(spark, {"sources": source_manifest(raw)}, f"{path}/manifest")["sources"]
+    sources = {"sources": source_manifest(raw)}
     if files is not None:
-        write_table(file_manifest(spark, *files), f"{path}/manifest/files")
+        sources["files"] = file_manifest(spark, *files)
+    manifest, staged = _together(
+        spark,
+        [
+            lambda: _stored(spark, sources, f"{path}/manifest")["sources"],
+            lambda: _stored(spark, stage_all(dict(raw)), f"{path}/staging"),
+        ],
+    )
     fingerprint = snapshot_fingerprint(manifest)
 
-    staged = _stored(spark, stage_all(dict(raw)), f"{path}/staging")
     gates = [_write_checks(staging_checks(dict(raw), staged), path, "staging")]
     require_passed(gates[-1])
 
@@ -153,20 +173,27 @@ def _execute(spark, raw, path, config, locations) -> dict:
     require_passed(gates[-1])
 
     profile = {"rows": row_profile(dict(raw), staged), "months": purchase_profile(staged)}
-    _stored(spark, profile, f"{path}/profile")
-
-    results, exports = {}, {}
-    for name, question in ANALYSES.items():
-        write_table(question(model, config), f"{path}/results/{name}")
-        results[name] = spark.read.parquet(f"{path}/results/{name}")
+    questions = {name: question(model, config) for name, question in ANALYSES.items()}
+    _, results = _together(
+        spark,
+        [
+            lambda: _stored(spark, profile, f"{path}/profile"),
+            lambda: _stored(spark, questions, f"{path}/results"),
+        ],
+    )
     gates.append(_write_checks(analysis_checks(results, model, config), path, "analyses"))
     require_passed(gates[-1])
 
-    for name in DIMENSIONS:
-        exports[name] = export_csv(spark.read.parquet(f"{path}/model/{name}"), f"{path}/csv/{name}")
-    for name, df in results.items():
-        if name not in CUSTOMER_LEVEL:
-            exports[name] = export_csv(require_public(df, name), f"{path}/csv/{name}", result_order(name))
+    public = {name: require_public(df, name) for name, df in results.items() if name not in CUSTOMER_LEVEL}
+    public |= {name: model.dimension(name) for name in DIMENSIONS}
+    described = _together(
+        spark,
+        [
+            partial(export_csv, df, f"{path}/csv/{name}", result_order(name) if name in results else None)
+            for name, df in public.items()
+        ],
+    )
+    exports = dict(zip(public, described))
 
     checks = [row for gate in gates for row in gate.collect()]
     return {

@@ -37,9 +37,7 @@ def write_json(spark: SparkSession, path: str, value) -> None:
     context = hadoop.FileContext.getFileContext(
         target.toUri(), spark._jsc.hadoopConfiguration()
     )
-    option = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-    options = spark._gateway.new_array(
-        getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename"), 1
-    )
-    options[0] = option
+    rename = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
     context.rename(context.makeQualified(candidate), context.makeQualified(target), options)
