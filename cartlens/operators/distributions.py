@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A 64-bit tick is read as three digits. With 18 bits below each cut, a ranking
-# window never holds more than 2**18 distinct digits below the first level, and
-# the first level holds one row per 2**36 ticks (about 19 hours in microseconds).
-_HIGH, _MIDDLE = 36, 18
+# A 64-bit tick is read as three digits of 22, 21 and 21 bits, so a ranking window
+# never holds more than 2**22 rows, whatever the number of rows and values is.
+_HIGH, _MIDDLE = 42, 21
+
+# Rank targets are broadcast only when the groups are known to be at most this many.
+MAX_BROADCAST_GROUPS = 10_000
 
 
 def expand_scopes(df: DataFrame, scopes: dict[str, list[str]], dims: list[str]) -> DataFrame:
@@ -61,6 +63,7 @@ def scoped_distribution(
     scopes: dict[str, list[str]],
     ticks: Column,
     quantiles: dict[str, float],
+    few_groups: bool = False,
 ) -> DataFrame:
     """Row count, value count, min, max and interpolated quantiles per scope.
 
@@ -71,6 +74,11 @@ def scoped_distribution(
     Rows are first reduced to value counts at the finest grouping. That single
     shuffled relation feeds every step, and the quantile ranks are narrowed digit
     by digit, so no task ever holds all values of a large group.
+
+    ``few_groups`` states that the caller has checked that all scopes together have
+    at most MAX_BROADCAST_GROUPS groups. The rank targets (a few per group) are then
+    broadcast and drop all other values before the shuffle. Without it they meet
+    in a shuffled join.
     """
     dims = list(dict.fromkeys(dim for kept in scopes.values() for dim in kept))
     keys = ["scope", *dims]
@@ -112,22 +120,26 @@ def scoped_distribution(
         valued.alias("_n"),
     )
 
-    def level(*digits, reduce_first=True):
-        rows = digits_of
-        if reduce_first:
+    def within(counts, hits, digit):
+        on = [*keys, digit]
+        marks = hits.select(*[F.col(name).alias(f"_k_{name}") for name in on], "_wanted")
+        if few_groups:
+            marks = F.broadcast(marks)
+        return counts.join(marks, _same(counts, marks, on)).drop(*[f"_k_{name}" for name in on])
+
+    def level(*digits, hits=None, distinct=False):
+        """Counts per scope and digits; with hits, only inside the digits already chosen."""
+        rows = digits_of.select(*dims, *digits, "_n")
+        if not distinct:
             rows = rows.groupBy(*dims, *digits).agg(F.sum("_n").alias("_n"))
-        else:
-            rows = rows.select(*dims, *digits, "_n")
-        per_scope = expand_scopes(rows, scopes, dims).groupBy(*keys, *digits)
-        return per_scope.agg(F.sum("_n").alias("_n")).filter(F.col("_n").isNotNull())
-
-    def within(counts, hits, *digits):
-        marks = hits.select(
-            *[F.col(name).alias(f"_k_{name}") for name in (*keys, *digits)], "_wanted"
-        )
-        return counts.join(marks, _same(counts, marks, [*keys, *digits])).drop(
-            *[f"_k_{name}" for name in (*keys, *digits)]
-        )
+        rows, extra = expand_scopes(rows, scopes, dims), []
+        if hits is not None and few_groups:
+            rows, extra = within(rows, hits, digits[0]), ["_wanted"]
+        counts = rows.groupBy(*keys, *digits, *extra).agg(F.sum("_n").alias("_n"))
+        counts = counts.filter(F.col("_n").isNotNull())
+        if hits is not None and not few_groups:
+            counts = within(counts, hits, digits[0])
+        return counts
 
     slots = list(quantiles.items())
     wanted = F.array(
@@ -143,11 +155,11 @@ def scoped_distribution(
         ]
     )
     first = _locate(level("_d1"), keys, "_d1", wanted).select(*keys, "_d1", "_wanted")
-    second = _locate(within(level("_d1", "_d2"), first, "_d1"), [*keys, "_d1"], "_d2", wanted)
+    second = _locate(level("_d1", "_d2", hits=first), [*keys, "_d1"], "_d2", wanted)
     second = second.select(*keys, "_d2", "_wanted")
     # The full value is already unique per finest group, so it is not reduced again.
-    values = level("_d2", "_d3", reduce_first=False)
-    third = _locate(within(values, second, "_d2"), [*keys, "_d2"], "_d3", wanted)
+    values = level("_d2", "_d3", hits=second, distinct=True)
+    third = _locate(values, [*keys, "_d2"], "_d3", wanted)
 
     exact = third.select(*keys, "_d3", F.explode("_wanted.slot").alias("_slot"))
     bounds = exact.groupBy(*keys).agg(

@@ -26,7 +26,7 @@ from cartlens.operators.filters import observed_until
 from cartlens.operators.ranking import label_top_groups, threshold_rank
 from cartlens.operators.samples import sample_counts, with_group_gap
 from cartlens.operators.shares import sequential_decomposition
-from cartlens.plans.model import CANCELED, DELIVERED, DELIVERY_MICROS
+from cartlens.plans.model import CANCELED, DELIVERED, DELIVERY_MICROS, FEW_MEMBERS
 
 TOP_CATEGORIES = 10
 REPEAT_DAYS = 30
@@ -250,14 +250,17 @@ def state_investigation(model, config: AnalysisConfig) -> DataFrame:
 def delivery_duration(model, config: AnalysisConfig) -> DataFrame:
     """Q05: delivery days for the window, every month and every state.
 
-    An estimate is not needed to enter this sample. The quantiles are exact.
+    An estimate is not needed to enter this sample. The quantiles are exact. The
+    window, its months and a checked number of states bound the number of groups.
     """
+    months = (config.analysis_end - config.analysis_start).days // 28 + 2
     orders = _delivered(model, config, "purchase_month", "customer_state", DELIVERY_MICROS)
     found = scoped_distribution(
         orders,
         {"WINDOW": [], "MONTH": ["purchase_month"], "STATE": ["customer_state"]},
         F.col(DELIVERY_MICROS),
         {"median": 0.5, "p90": 0.9},
+        few_groups=months <= FEW_MEMBERS // 2 and model.has_few_states(),
     )
     no_month = F.lit(None).cast("date").alias("purchase_month")
     no_state = F.lit(None).cast("string").alias("customer_state")

@@ -32,7 +32,7 @@ from cartlens.plans.quality import (
     staging_checks,
 )
 from cartlens.plans.reports import purchase_profile, row_profile
-from cartlens.plans.staging import stage_all
+from cartlens.plans.staging import stage_table
 from cartlens.sources.csv_source import (
     file_manifest,
     read_sources,
@@ -96,12 +96,18 @@ def _together(spark: SparkSession, jobs: Iterable[Callable[[], object]]) -> list
         return [job.result() for job in started]
 
 
-def _stored(spark: SparkSession, tables: Mapping[str, DataFrame], path: str) -> dict[str, DataFrame]:
-    """Write tables and read them back: later plans start from files, not from lineage."""
-    _together(spark, [partial(write_table, df, f"{path}/{name}") for name, df in tables.items()])
-    return {
-        name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in tables.items()
-    }
+def _stored(
+    spark: SparkSession, tables: Mapping[str, Callable[[], DataFrame]], path: str
+) -> dict[str, DataFrame]:
+    """Build, write and read back tables: later plans start from files, not from lineage."""
+
+    def store(name, build):
+        df = build()
+        write_table(df, f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    jobs = [partial(store, name, build) for name, build in tables.items()]
+    return dict(zip(tables, _together(spark, jobs)))
 
 
 def build_model(staged: Mapping[str, DataFrame], config: AnalysisConfig, path: str) -> StoredModel:
@@ -153,27 +159,32 @@ def _execute(spark, raw, path, config, locations) -> dict:
     if not isinstance(raw, Mapping):
         files = (str(raw), locations)
         raw = read_sources(spark, str(raw), locations)
-    sources = {"sources": source_manifest(raw)}
+    sources = {"sources": partial(source_manifest, raw)}
     if files is not None:
-        sources["files"] = file_manifest(spark, *files)
+        sources["files"] = partial(file_manifest, spark, *files)
+    staging = {table: partial(stage_table, df, table) for table, df in raw.items()}
     manifest, staged = _together(
         spark,
         [
             lambda: _stored(spark, sources, f"{path}/manifest")["sources"],
-            lambda: _stored(spark, stage_all(dict(raw)), f"{path}/staging"),
+            lambda: _stored(spark, staging, f"{path}/staging"),
         ],
     )
     fingerprint = snapshot_fingerprint(manifest)
+    raw_rows = {row["source"]: row["rows"] for row in manifest.select("source", "rows").collect()}
 
-    gates = [_write_checks(staging_checks(dict(raw), staged), path, "staging")]
+    gates = [_write_checks(staging_checks(dict(raw), staged, raw_rows), path, "staging")]
     require_passed(gates[-1])
 
     model = build_model(staged, config, f"{path}/model")
     gates.append(_write_checks(model_checks(staged, model), path, "model"))
     require_passed(gates[-1])
 
-    profile = {"rows": row_profile(dict(raw), staged), "months": purchase_profile(staged)}
-    questions = {name: question(model, config) for name, question in ANALYSES.items()}
+    profile = {
+        "rows": partial(row_profile, dict(raw), staged, raw_rows),
+        "months": partial(purchase_profile, staged),
+    }
+    questions = {name: partial(question, model, config) for name, question in ANALYSES.items()}
     _, results = _together(
         spark,
         [

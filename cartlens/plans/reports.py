@@ -149,15 +149,22 @@ def overview(results: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def row_profile(raw: dict[str, DataFrame], staged: dict[str, DataFrame]) -> DataFrame:
-    """Source and staging row counts per table."""
+def row_profile(
+    raw: dict[str, DataFrame],
+    staged: dict[str, DataFrame],
+    raw_rows: dict[str, int] | None = None,
+) -> DataFrame:
+    """Source and staging row counts per table; known source counts are not counted again."""
 
     def counted(table):
-        staged_rows = staged[table].select(F.count(F.lit(1))).scalar()
+        if raw_rows is None:
+            loaded = raw[table].select(F.count(F.lit(1))).scalar()
+        else:
+            loaded = F.lit(raw_rows[table]).cast("bigint")
         return (
-            raw[table]
-            .agg(F.count(F.lit(1)).alias("raw_rows"))
-            .select(F.lit(table).alias("table_name"), "raw_rows", staged_rows.alias("staged_rows"))
+            staged[table]
+            .agg(F.count(F.lit(1)).alias("staged_rows"))
+            .select(F.lit(table).alias("table_name"), loaded.alias("raw_rows"), "staged_rows")
         )
 
     return reduce(DataFrame.unionByName, [counted(table) for table in raw])

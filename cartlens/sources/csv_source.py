@@ -159,3 +159,8 @@ def snapshot_fingerprint(manifest: DataFrame) -> str:
     entry = F.struct(*[F.col(name) for name in sorted(manifest.columns)])
     whole = F.to_json(F.sort_array(F.collect_list(entry)))
     return manifest.agg(F.sha2(whole, 256).alias("fingerprint")).first()["fingerprint"]
+
+
+def snapshot_label(files: DataFrame) -> str:
+    """Short label of a snapshot for display: twelve characters over file names and hashes."""
+    return snapshot_fingerprint(files.select("file", "sha256"))[:12]

@@ -41,17 +41,23 @@ def _status(code: Column) -> Column:
 
 
 def star_orders(spark: SparkSession, path: str, keep_empty: bool) -> DataFrame:
-    """Orders with the last ship date as delivery; optionally also orders without lines."""
-    orders = read_star(spark, path, "orders")
+    """Orders with the last ship date as delivery; optionally also orders without lines.
+
+    The join uses the text key of the model, so the orders keep this partitioning
+    when item, payment and review aggregates are joined to them later.
+    """
+    orders = read_star(spark, path, "orders").withColumn(
+        "order_id", F.col("o_orderkey").cast("string")
+    )
     shipped = (
         read_star(spark, path, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
+        .groupBy(F.col("l_orderkey").cast("string").alias("order_id"))
         .agg(F.max("l_shipdate").alias("_shipped"))
     )
     priority = F.substring("o_orderpriority", 1, 1).cast("int")
-    joined = orders.join(shipped, "o_orderkey", "left" if keep_empty else "inner")
+    joined = orders.join(shipped, "order_id", "left" if keep_empty else "inner")
     return joined.select(
-        F.col("o_orderkey").cast("string").alias("order_id"),
+        "order_id",
         F.col("o_custkey").cast("string").alias("customer_id"),
         _status(F.col("o_orderstatus")).alias("order_status"),
         F.col("o_orderdate").alias("order_purchase_timestamp"),

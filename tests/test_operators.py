@@ -9,6 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cartlens.functions.casts import text_to_flag
 from cartlens.functions.measures import guarded_sum, is_not_true, safe_ratio
 from cartlens.functions.time import month_sequence
 from cartlens.operators.calendar import day_spine, dense_grid, month_spine
@@ -32,13 +33,15 @@ TICKS = st.one_of(
 )
 
 
+@pytest.mark.parametrize("few_groups", [False, True])
 @RELAXED
-@given(st.lists(st.tuples(GROUPS, st.sampled_from(["x", "y"]), TICKS), min_size=1, max_size=60))
-def test_scoped_quantiles_equal_numpy(spark, rows):
+@given(rows=st.lists(st.tuples(GROUPS, st.sampled_from(["x", "y"]), TICKS), min_size=1, max_size=60))
+def test_scoped_quantiles_equal_numpy(spark, few_groups, rows):
     df = spark.createDataFrame(rows, "g string, h string, v long")
     found = records(
         scoped_distribution(
-            df, {"all": [], "g": ["g"], "h": ["h"]}, F.col("v"), {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+            df, {"all": [], "g": ["g"], "h": ["h"]}, F.col("v"), {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p100": 1.0},
+            few_groups,
         ),
         "scope", "g", "h",
     )
@@ -201,3 +204,8 @@ def test_fingerprint_ignores_order_and_sees_changes(spark):
     three = table_fingerprint(spark.createDataFrame(rows[1:] + [(0, "x")], "n int, s string")).first()
     assert one == two and one["rows"] == len(frame)
     assert one["checksum"] != three["checksum"]
+
+
+def test_flags_read_back_from_text(spark):
+    df = spark.createDataFrame([("true",), ("True",), ("1",), ("false",), ("",), (None,)], "t string")
+    assert [row[0] for row in df.select(text_to_flag(F.col("t"))).collect()] == [True, True, True, False, False, False]

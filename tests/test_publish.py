@@ -9,7 +9,8 @@ from cartlens.config import ConfigError
 from cartlens.plans.publish import RunError, load_current, load_run, publish_extract, run
 from cartlens.plans.quality import QualityError
 from cartlens.sources.csv_source import (
-    SourceError, file_manifest, read_source, read_sources, snapshot_fingerprint, source_manifest,
+    SourceError, file_manifest, read_source, read_sources, snapshot_fingerprint, snapshot_label,
+    source_manifest,
 )
 from cartlens.sources.results import ExportError, read_table
 from sample import CONFIG, FILES, changed, one_order, records, shop, write_csv
@@ -82,6 +83,7 @@ def test_manifest_and_fingerprint(spark, tmp_path):
     directory = write_csv(tmp_path / "raw", one_order())
     files = records(file_manifest(spark, str(directory)), "source")
     assert len(files) == 7 and all(len(row["sha256"]) == 64 for row in files.values())
+    assert len(snapshot_label(file_manifest(spark, str(directory)))) == 12
     first = snapshot_fingerprint(source_manifest(read_sources(spark, str(directory))))
     assert first == snapshot_fingerprint(source_manifest(read_sources(spark, str(directory))))
     edit(directory, "items", lambda text: text.replace("90.00", "91.00"))
