@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import copy
 import csv
+import json
+
+import pandas as pd
 
 from cartlens.config import AnalysisConfig
 from cartlens.plans.model import StagedModel
@@ -137,7 +140,9 @@ def raw_tables(spark, rows: dict[str, list[dict]]) -> dict:
     for table, spec in COLUMNS.items():
         schema = ", ".join(f"{name} string" for name in spec)
         values = [tuple(row.get(name) for name in spec) for row in rows.get(table, [])]
-        tables[table] = spark.createDataFrame(values, schema)
+        # Through Arrow the rows become a local relation, which keeps small tests quick.
+        frame = pd.DataFrame(values, columns=list(spec), dtype=object)
+        tables[table] = spark.createDataFrame(frame, schema)
     return tables
 
 
@@ -145,8 +150,15 @@ def staged(spark, rows):
     return stage_all(raw_tables(spark, rows))
 
 
+_BUILT = {}
+
+
 def build(spark, rows) -> StagedModel:
-    return StagedModel(staged(spark, rows))
+    """Model of the rows; the same rows share one set of lazy staging plans."""
+    key = json.dumps(rows, sort_keys=True)
+    if key not in _BUILT:
+        _BUILT[key] = StagedModel(staged(spark, rows))
+    return _BUILT[key]
 
 
 def with_change(rows, table, key, **values):

@@ -20,6 +20,14 @@ WINDOW = changed(
 )
 
 
+@pytest.fixture(scope="module")
+def published(spark, tmp_path_factory):
+    """One published run: output folder and run."""
+    base = tmp_path_factory.mktemp("published")
+    directory, output = write_csv(base / "raw", one_order()), base / "out"
+    return directory, output, run(spark, str(directory), str(output), WINDOW)
+
+
 def edit(directory, table, change):
     path = directory / FILES[table]
     path.write_text(change(path.read_text(encoding="utf-8-sig")), encoding="utf-8")
@@ -90,9 +98,8 @@ def test_manifest_and_fingerprint(spark, tmp_path):
     assert first != snapshot_fingerprint(source_manifest(read_sources(spark, str(directory))))
 
 
-def test_run_publishes_and_is_repeatable(spark, tmp_path):
-    directory, output = write_csv(tmp_path / "raw", one_order()), tmp_path / "out"
-    done = run(spark, str(directory), str(output), WINDOW)
+def test_run_publishes_and_is_repeatable(spark, tmp_path, published):
+    directory, output, done = published
     assert (done.status["status"], done.status["blocking_failures"], done.status["checks"]) == ("passed", 0, 72)
     current = load_current(spark, str(output), WINDOW)
     assert current.path == done.path
@@ -117,9 +124,8 @@ def test_run_publishes_and_is_repeatable(spark, tmp_path):
     assert "B1" not in public and "NORTH" in public
 
 
-def test_failed_checks_keep_the_previous_pointer(spark, tmp_path):
-    directory, output = write_csv(tmp_path / "raw", one_order()), tmp_path / "out"
-    run(spark, str(directory), str(output), WINDOW)
+def test_failed_checks_keep_the_previous_pointer(spark, tmp_path, published):
+    directory, output = write_csv(tmp_path / "raw", one_order()), published[1]
     before = (output / "current.json").read_bytes()
     edit(directory, "items", lambda text: text.splitlines()[0] + "\n")
     with pytest.raises(QualityError, match="merchandise"):
@@ -155,9 +161,8 @@ def test_pointer_cannot_leave_the_folder(spark, tmp_path):
         load_current(spark, str(tmp_path))
 
 
-def test_unapproved_parameters_are_refused(spark, tmp_path):
-    directory, output = write_csv(tmp_path / "raw", one_order()), tmp_path / "out"
-    run(spark, str(directory), str(output), WINDOW)
+def test_unapproved_parameters_are_refused(spark, published):
+    output = published[1]
     with pytest.raises(RunError, match="parameters"):
         load_current(spark, str(output), CONFIG)
 
