@@ -94,19 +94,19 @@ def near_duplicates(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", ve
     met = in_blocks(slim, ["label", "size", "f"], ["cid"])
     full = met.join(found.select("cid", "fs"), "cid").join(classes.select("cid", "vec", "copies"), "cid")
 
-    def compare(group: pd.DataFrame) -> dict[str, np.ndarray] | None:
+    def compare(group: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
         units = np.stack([_unit(v) for v in group["vec"]])
         near = units @ units.T >= cosine
         np.fill_diagonal(near, False)
-        own = group["_own"].to_numpy()
-        if group["_i"].iat[0] != group["_j"].iat[0]:
+        own = group["_own"]
+        if group["_i"][0] != group["_j"][0]:
             near &= own[:, None] != own[None, :]
         if not near.any():
             return None
-        cid = group["cid"].to_numpy()
+        cid = group["cid"]
         root = cid[forest(near)]
-        first_here = near & ~_share_earlier(list(group["fs"]), int(group["f"].iat[0]))
-        return {"cid": cid, "links": first_here @ group["copies"].to_numpy(), "root": root}
+        first_here = near & ~_share_earlier(list(group["fs"]), int(group["f"][0]))
+        return {"cid": cid, "links": first_here @ group["copies"], "root": root}
 
     made = T.StructType([T.StructField(c, T.LongType()) for c in ("cid", "links", "root")])
     met_rows = full.select("label", "size", "f", "_i", "_j", "_own", "cid", "fs", "vec", "copies")

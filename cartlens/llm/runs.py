@@ -43,26 +43,27 @@ def in_blocks(df: DataFrame, keys: list[str], order: list[str], wanted: Column |
     )
 
 
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Group after group of rows that come sorted by `keys`."""
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Group after group of rows that come sorted by `keys`, as arrays by column."""
     rest = None
     for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        if not len(rows):
+        if not len(batch):
             continue
-        new = np.zeros(len(rows), dtype=bool)
+        rows = {c: batch[c].to_numpy() for c in batch.columns}
+        if rest is not None:
+            rows = {c: np.concatenate([rest[c], v]) for c, v in rows.items()}
+        new = np.zeros(len(rows[keys[0]]), dtype=bool)
         for k in keys:
-            values = rows[k].to_numpy()
-            new[1:] |= values[1:] != values[:-1]
-        starts = [0, *np.flatnonzero(new)]
+            new[1:] |= rows[k][1:] != rows[k][:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
         for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield rows.iloc[a:b]
-        rest = rows.iloc[starts[-1] :]
+            yield {c: v[a:b] for c, v in rows.items()}
+        rest = {c: v[starts[-1] :] for c, v in rows.items()}
     if rest is not None:
         yield rest
 
 
-def map_runs(df: DataFrame, keys: list[str], work: Callable[[pd.DataFrame], dict[str, np.ndarray] | None], schema: T.StructType) -> DataFrame:
+def map_runs(df: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray] | None], schema: T.StructType) -> DataFrame:
     """Apply `work` to each group of block pairs; it returns columns or None."""
     every = [*keys, "_i", "_j"]
     names = schema.fieldNames()

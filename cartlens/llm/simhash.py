@@ -83,8 +83,8 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
         signed, ["s", "gone", "part"], ["fp"], (F.col("gone") < 0) | ((F.col("_ones") > 0) & (F.col("_ones") < F.col("_n"))), {"_ones": bit}
     )
 
-    def compare(rows: pd.DataFrame) -> dict[str, np.ndarray] | None:
-        fp = np.unique(rows["fp"].to_numpy())
+    def compare(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray] | None:
+        fp = np.unique(rows["fp"])
         bits = fp.view(np.uint64)
         root = forest(np.bitwise_count(bits[:, None] ^ bits[None, :]) <= distance)
         at = np.flatnonzero(root != np.arange(len(fp)))
