@@ -25,14 +25,19 @@ def text_to_timestamp(text: Column) -> Column:
     return F.when(trimmed.rlike(DATE_SHAPE), trimmed.try_cast("timestamp_ntz"))
 
 
+def _number_text(text: Column) -> Column:
+    """Trimmed text without single underscores between digits."""
+    return F.regexp_replace(F.trim(text), r"(?<=\d)_(?=\d)", "")
+
+
 def text_to_key_integer(text: Column) -> Column:
     """Integer for key columns: fractions and exponents are refused."""
-    return F.trim(text).try_cast("int")
+    return _number_text(text).try_cast("int")
 
 
 def text_to_integer(text: Column) -> Column:
     """Integer for descriptive columns: fractions round half up."""
-    return F.round(F.trim(text).try_cast("decimal(38,9)")).try_cast("int")
+    return F.round(_number_text(text).try_cast("decimal(38,9)")).try_cast("int")
 
 
 def text_to_money(text: Column) -> Column:
@@ -40,7 +45,9 @@ def text_to_money(text: Column) -> Column:
 
 
 def text_to_double(text: Column) -> Column:
-    return F.trim(text).try_cast("double")
+    """Double; a type suffix after the number (12d, 1.5F) is no number."""
+    number = _number_text(text)
+    return F.when(~number.rlike(r"[0-9.][dDfF]$"), number.try_cast("double"))
 
 
 def text_to_score(text: Column) -> Column:

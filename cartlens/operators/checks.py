@@ -22,10 +22,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def fk_orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Number of child rows without a parent; a NULL key is an orphan.
 
-    The child is counted per key before the join, so a frequent key is one row.
+    The child is counted per key before the join, so a frequent key is one row;
+    the parent is reduced to its distinct keys for the same reason.
     """
     counted = child.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
-    parents = parent.select(F.col(parent_key).alias("_key"))
+    parents = parent.select(F.col(parent_key).alias("_key")).distinct()
     missing = counted.join(parents, "_key", "left_anti")
     return missing.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("orphans"))
 

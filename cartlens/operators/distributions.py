@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 # never holds more than 2**22 rows, whatever the number of rows and values is.
 _HIGH, _MIDDLE = 42, 21
 
-# Rank targets are broadcast only when the groups are known to be at most this many.
-MAX_BROADCAST_GROUPS = 10_000
-
 
 def expand_scopes(df: DataFrame, scopes: dict[str, list[str]], dims: list[str]) -> DataFrame:
     """Repeat each row once per scope and blank the dimensions outside the scope."""
@@ -63,7 +60,6 @@ def scoped_distribution(
     scopes: dict[str, list[str]],
     ticks: Column,
     quantiles: dict[str, float],
-    few_groups: bool = False,
 ) -> DataFrame:
     """Row count, value count, min, max and interpolated quantiles per scope.
 
@@ -74,11 +70,6 @@ def scoped_distribution(
     Rows are first reduced to value counts at the finest grouping. That single
     shuffled relation feeds every step, and the quantile ranks are narrowed digit
     by digit, so no task ever holds all values of a large group.
-
-    ``few_groups`` states that the caller has checked that all scopes together have
-    at most MAX_BROADCAST_GROUPS groups. The rank targets (a few per group) are then
-    broadcast and drop all other values before the shuffle. Without it they meet
-    in a shuffled join.
     """
     dims = list(dict.fromkeys(dim for kept in scopes.values() for dim in kept))
     keys = ["scope", *dims]
@@ -123,8 +114,6 @@ def scoped_distribution(
     def within(counts, hits, digit):
         on = [*keys, digit]
         marks = hits.select(*[F.col(name).alias(f"_k_{name}") for name in on], "_wanted")
-        if few_groups:
-            marks = F.broadcast(marks)
         return counts.join(marks, _same(counts, marks, on)).drop(*[f"_k_{name}" for name in on])
 
     def level(*digits, hits=None, distinct=False):
@@ -132,14 +121,10 @@ def scoped_distribution(
         rows = digits_of.select(*dims, *digits, "_n")
         if not distinct:
             rows = rows.groupBy(*dims, *digits).agg(F.sum("_n").alias("_n"))
-        rows, extra = expand_scopes(rows, scopes, dims), []
-        if hits is not None and few_groups:
-            rows, extra = within(rows, hits, digits[0]), ["_wanted"]
-        counts = rows.groupBy(*keys, *digits, *extra).agg(F.sum("_n").alias("_n"))
+        rows = expand_scopes(rows, scopes, dims)
+        counts = rows.groupBy(*keys, *digits).agg(F.sum("_n").alias("_n"))
         counts = counts.filter(F.col("_n").isNotNull())
-        if hits is not None and not few_groups:
-            counts = within(counts, hits, digits[0])
-        return counts
+        return counts if hits is None else within(counts, hits, digits[0])
 
     slots = list(quantiles.items())
     wanted = F.array(

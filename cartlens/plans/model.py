@@ -27,9 +27,6 @@ from cartlens.operators.ranking import latest_row
 MONEY = "decimal(18,2)"
 DELIVERED, CANCELED = "delivered", "canceled"
 
-# Dimensions up to this size count as small.
-FEW_MEMBERS = 5_000
-
 # Declared layout of the written tables; nothing is inferred on reading.
 ORDER_SCHEMA = {
     "order_id": "string",
@@ -258,20 +255,16 @@ class StagedModel:
 
         An item takes its state from its order or is UNKNOWN, so the items add nothing.
         """
-        buyers = self.staged["orders"].select("customer_id")
+        buyers = self.staged["orders"].select("customer_id").distinct()
         people = self.staged["customers"].select("customer_id", "customer_state")
         seen = people.join(buyers, "customer_id", "left_semi").select("customer_state").distinct()
         return _with_unknown(seen, "customer_state")
 
     def categories(self) -> DataFrame:
-        sold = self.staged["items"].select("product_id")
+        sold = self.staged["items"].select("product_id").distinct()
         seen = product_categories(self.staged).join(sold, "product_id", "left_semi")
         return _with_unknown(seen.select(unknown_member(F.col("category")).alias("category")), "category")
 
-    def has_few_states(self) -> bool:
-        """Unknown without running the joins, so nothing may rely on it."""
-        return False
-
     def dates(self, config: AnalysisConfig) -> DataFrame:
         return build_dates(self.orders(["purchase_date"]), config)
 
@@ -316,10 +309,6 @@ class StoredModel:
     def states(self) -> DataFrame:
         return self._read("dim_customer_state")
 
-    def has_few_states(self) -> bool:
-        """Size check on the written dimension; reads at most one row more than allowed."""
-        return self.states().limit(FEW_MEMBERS + 1).count() <= FEW_MEMBERS
-
     def categories(self) -> DataFrame:
         return self._read("dim_category")
 

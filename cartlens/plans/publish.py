@@ -145,7 +145,7 @@ def run(
     try:
         status = _execute(spark, raw, path, config, locations)
     except Exception as error:
-        failure = {"status": "failed", "error": type(error).__name__, "message": str(error)[:2000]}
+        failure = {"status": "failed", "error": type(error).__name__, "message": str(error)}
         write_json(spark, f"{path}/failed.json", failure | {"config": config.as_dict()})
         raise
     write_json(spark, f"{path}/run.json", status)

@@ -40,7 +40,7 @@ def _status(code: Column) -> Column:
     return F.when(code == "F", "delivered").when(code == "O", "shipped").when(code == "P", "canceled")
 
 
-def star_orders(spark: SparkSession, path: str, keep_empty: bool) -> DataFrame:
+def star_orders(spark: SparkSession, path: str) -> DataFrame:
     """Orders with the last ship date as delivery; optionally also orders without lines.
 
     The join uses the text key of the model, so the orders keep this partitioning
@@ -55,7 +55,7 @@ def star_orders(spark: SparkSession, path: str, keep_empty: bool) -> DataFrame:
         .agg(F.max("l_shipdate").alias("_shipped"))
     )
     priority = F.substring("o_orderpriority", 1, 1).cast("int")
-    joined = orders.join(shipped, "order_id", "left" if keep_empty else "inner")
+    joined = orders.join(shipped, "order_id", "left")
     return joined.select(
         "order_id",
         F.col("o_custkey").cast("string").alias("customer_id"),
@@ -70,7 +70,7 @@ def star_orders(spark: SparkSession, path: str, keep_empty: bool) -> DataFrame:
     )
 
 
-def star_tables(spark: SparkSession, path: str, keep_empty: bool = False) -> dict[str, DataFrame]:
+def star_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The seven typed source tables."""
     lines = read_star(spark, path, "lineitem")
     items = lines.select(
@@ -133,7 +133,7 @@ def star_tables(spark: SparkSession, path: str, keep_empty: bool = False) -> dic
         )
     )
     return {
-        "orders": star_orders(spark, path, keep_empty),
+        "orders": star_orders(spark, path),
         "items": items,
         "payments": payments,
         "customers": customers,
@@ -143,9 +143,7 @@ def star_tables(spark: SparkSession, path: str, keep_empty: bool = False) -> dic
     }
 
 
-def star_text_tables(
-    spark: SparkSession, path: str, keep_empty: bool = False
-) -> dict[str, DataFrame]:
+def star_text_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The same tables with every column rendered as text."""
 
     def render(name: str, kind: str) -> Column:
@@ -158,5 +156,5 @@ def star_text_tables(
 
     return {
         table: df.select(*[render(name, kind) for name, kind in COLUMNS[table].items()])
-        for table, df in star_tables(spark, path, keep_empty).items()
+        for table, df in star_tables(spark, path).items()
     }

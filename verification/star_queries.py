@@ -57,7 +57,7 @@ from cartlens.plans.staging import COLUMNS, stage_all, stage_table
 from cartlens.sources.order_star import STAR_CONFIG, read_star, star_tables, star_text_tables
 
 # Cut-off and horizon of the event-table sequence.
-EVENT_CUTOFF = dt.datetime(2024, 1, 3, 6, 0, 0)
+EVENT_CUTOFF = dt.datetime(2024, 1, 28)
 EVENT_HORIZON_DAYS = 1
 
 
@@ -77,8 +77,8 @@ def plain(df: DataFrame, rounded: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*columns)
 
 
-def model(spark: SparkSession, path: str, keep_empty: bool = False) -> StagedModel:
-    return StagedModel(star_tables(spark, path, keep_empty))
+def model(spark: SparkSession, path: str) -> StagedModel:
+    return StagedModel(star_tables(spark, path))
 
 
 _ROUNDED = {
@@ -103,11 +103,11 @@ def _results(spark, path, *names) -> dict[str, DataFrame]:
 
 
 def fact_orders(spark, path):
-    return plain(model(spark, path, keep_empty=True).orders())
+    return plain(model(spark, path).orders())
 
 
 def fact_order_items(spark, path):
-    return plain(model(spark, path, keep_empty=True).items())
+    return plain(model(spark, path).items())
 
 
 def dim_date(spark, path):
@@ -221,15 +221,15 @@ def staging_removes_copies(spark, path):
 
 def q01_strict_guarded_sum(spark, path):
     """Orders without lines are kept, so their months lose the amount."""
-    return plain(monthly_commerce(model(spark, path, keep_empty=True), STAR_CONFIG))
+    return plain(monthly_commerce(model(spark, path), STAR_CONFIG))
 
 
 def q02_strict_undefined_parts(spark, path):
-    return plain(monthly_change(model(spark, path, keep_empty=True), STAR_CONFIG))
+    return plain(monthly_change(model(spark, path), STAR_CONFIG))
 
 
 def q04_strict_unknown_amounts(spark, path):
-    return plain(state_investigation(model(spark, path, keep_empty=True), STAR_CONFIG))
+    return plain(state_investigation(model(spark, path), STAR_CONFIG))
 
 
 # --- quality -----------------------------------------------------------------------
@@ -241,7 +241,7 @@ def quality_staging(spark, path):
 
 
 def quality_models(spark, path):
-    shared = model(spark, path, keep_empty=True)
+    shared = model(spark, path)
     return plain(model_checks(shared.staged, shared))
 
 
@@ -257,12 +257,12 @@ def quality_analyses(spark, path):
 
 
 def quality_summary(spark, path):
-    shared = model(spark, path, keep_empty=True)
+    shared = model(spark, path)
     return plain(summarize(model_checks(shared.staged, shared)))
 
 
 def quality_report_rows(spark, path):
-    shared = model(spark, path, keep_empty=True)
+    shared = model(spark, path)
     return plain(quality_report(model_checks(shared.staged, shared)))
 
 
@@ -389,7 +389,7 @@ def data_profile_rows(spark, path):
 
 
 def data_profile_months(spark, path):
-    return plain(purchase_profile(star_tables(spark, path, keep_empty=True)))
+    return plain(purchase_profile(star_tables(spark, path)))
 
 
 # --- single operators --------------------------------------------------------------
@@ -662,7 +662,7 @@ def event_cohorts(spark, path):
 
 def delivery_flags(spark, path):
     """Two-valued and three-valued flags side by side, counted by value."""
-    orders = star_tables(spark, path, keep_empty=True)["orders"]
+    orders = star_tables(spark, path)["orders"]
     bought, arrived = F.col("order_purchase_timestamp"), F.col("order_delivered_customer_date")
     flags = orders.select(
         "order_status",
