@@ -14,10 +14,6 @@ from pyspark.sql import types as T
 from cartlens.operators.checks import table_fingerprint
 from cartlens.plans.staging import COLUMNS
 
-# Files above this size are not hashed byte by byte in one task; the
-# order-independent row checksum stands for their content.
-MAX_HASHED_BYTES = 128 * 1024 * 1024
-
 
 class SourceError(ValueError):
     """A source is absent or breaks its header contract."""
@@ -114,21 +110,32 @@ def read_sources(
 def file_manifest(
     spark: SparkSession, directory: str, locations: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Name, size and content hash of every source file; very large files carry no hash."""
+    """Name, size and content fingerprint of every source file, alike at every size.
+
+    The fingerprint is a SHA-256 over the number of lines and two sums of line digests. Sums don't depend on
+    the order of lines, so a large file is read by many tasks.
+    """
     frames = []
     for table in SOURCES:
         path = source_path(directory, table, locations)
-        files = spark.read.format("binaryFile").load(path)
-        sizes = files.select("path", "length")
-        small = files.filter(F.col("length") <= MAX_HASHED_BYTES).select(
-            "path", F.sha2("content", 256).alias("sha256")
+        # an empty file has no lines, so names and sizes come from the listing
+        files = spark.read.format("binaryFile").load(path).select(
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")
+        )
+        digest = F.md5("value")
+        halves = [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
+        lines = spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("path"), halves[0].alias("first"), halves[1].alias("second")
+        )
+        content = lines.groupBy("path").agg(
+            F.concat_ws(" ", F.count(F.lit(1)), F.sum("first"), F.sum("second")).alias("content")
         )
         frames.append(
-            sizes.join(small, "path", "left").select(
+            files.join(content, "path", "left").select(
                 F.lit(table).alias("source"),
                 F.element_at(F.split("path", "/"), -1).alias("file"),
-                F.col("length").alias("bytes"),
-                "sha256",
+                "bytes",
+                F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha256"),
             )
         )
     manifest = frames[0]

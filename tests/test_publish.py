@@ -91,11 +91,14 @@ def test_manifest_and_fingerprint(spark, tmp_path):
     directory = write_csv(tmp_path / "raw", one_order())
     files = records(file_manifest(spark, str(directory)), "source")
     assert len(files) == 7 and all(len(row["sha256"]) == 64 for row in files.values())
-    assert len(snapshot_label(file_manifest(spark, str(directory)))) == 12
+    label = snapshot_label(file_manifest(spark, str(directory)))
+    assert len(label) == 12
     first = snapshot_fingerprint(source_manifest(read_sources(spark, str(directory))))
     assert first == snapshot_fingerprint(source_manifest(read_sources(spark, str(directory))))
     edit(directory, "items", lambda text: text.replace("90.00", "91.00"))
     assert first != snapshot_fingerprint(source_manifest(read_sources(spark, str(directory))))
+    # same names and sizes, other content
+    assert label != snapshot_label(file_manifest(spark, str(directory)))
 
 
 def test_run_publishes_and_is_repeatable(spark, tmp_path, published):
