@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import copy
 import csv
+import datetime as dt
 import json
+import random
 
 import pandas as pd
 
@@ -22,6 +24,8 @@ CONFIG = AnalysisConfig.from_mapping(
     }
 )
 
+CONFIG_END = dt.datetime(2020, 4, 30, 23, 59, 59)
+
 
 def changed(config, **values):
     return AnalysisConfig.from_mapping(config.as_dict() | values)
@@ -109,29 +113,61 @@ def shop() -> dict[str, list[dict]]:
     }
 
 
-def repeaters() -> dict[str, list[dict]]:
-    """Delivered purchases of six people around the 30-day edges."""
-    rows = [
-        ("u0", "u", "2019-12-10 08:00:00"),  # first purchase before the window
-        ("u1", "u", "2020-01-20 08:00:00"),
-        ("v0", "v", "2020-01-02 08:00:00"),  # two orders in the same second
-        ("v0twin", "v", "2020-01-02 08:00:00"),
-        ("v30", "v", "2020-02-01 08:00:00"),  # exactly 30 days later
-        ("v31", "v", "2020-02-05 08:00:00"),
-        ("w0", "w", "2020-01-03 08:00:00"),
-        ("w31", "w", "2020-02-03 08:00:00"),  # 31 days later
-        ("x0", "x", "2020-04-12 08:00:00"),  # less than 30 days before the cut-off
-        ("x_after", "x", "2020-05-02 08:00:00"),  # after the cut-off
-        ("y0", "y", "2020-03-31 23:59:59"),  # exactly 30 days before the cut-off
-        ("z_after", "z", "2020-05-12 08:00:00"),
-    ]
+def market(seed: int = 4, count: int = 90) -> dict[str, list[dict]]:
+    """Seeded random orders from December to April without March; gaps, odd dates and odd scores included.
+
+    Only April has orders without items and prices that are no number.
+    """
+    rng = random.Random(seed)
+    rows = {name: [] for name in COLUMNS}
+    kinds = [f"sorte {n:02d}" for n in range(14)] + ["OTHER", ""]
+    for n, kind in enumerate(kinds):
+        rows["products"].append({"product_id": f"g{n}", "product_category_name": kind})
+        if n % 3 == 0 and kind:
+            rows["category_translation"].append(
+                {"product_category_name": kind, "product_category_name_english": f"sort {n}"}
+            )
+    for n in range(count):
+        bought = dt.datetime(*rng.choice([(2019, 12), (2020, 1), (2020, 2), (2020, 4)]), rng.randint(1, 28), rng.randint(0, 23))
+        arrived = rng.choice([None, *[bought + dt.timedelta(hours=h) for h in (-30, 30, 77, 140, 201, 333)]])
+        promised = rng.choice([None, *[bought.date() + dt.timedelta(days=d) for d in (-2, 3, 6, 9, 12)]])
+        status = rng.choice(["delivered"] * 6 + ["canceled", "shipped"])
+        rows["orders"].append(order(f"n{n}", f"c{n}", status, str(bought), arrived and str(arrived), promised and str(promised)))
+        rows["customers"].append(
+            {"customer_id": f"c{n}", "customer_unique_id": f"who{n % 40}", "customer_state": rng.choice(["Coast", "Hills", "Plain", ""])}
+        )
+        april = bought.month == 4
+        for number in range(rng.randint(0 if april else 1, 3)):
+            price = "?" if april and rng.random() < 0.2 else f"{rng.randint(100, 90_000) / 100:.2f}"
+            rows["items"].append(item(f"n{n}", number + 1, f"g{rng.randrange(len(kinds))}", price))
+        for number in range(rng.randint(0, 2)):
+            created = bought.date() + dt.timedelta(days=rng.randint(1, 9))
+            answered = rng.choice([None, dt.datetime.combine(created, dt.time(number, n % 60)) + dt.timedelta(days=rng.randint(0, 4))])
+            rows["reviews"].append(review(f"v{n}.{number}", f"n{n}", str(rng.randint(1, 6)), str(created), answered and str(answered)))
+    return rows
+
+
+def journeys(seed: int = 8) -> dict[str, list[dict]]:
+    """Seeded random purchases of 30 people; gaps around the horizon, starts around the last full horizon."""
+    rng = random.Random(seed)
+    day, end = dt.timedelta(days=1), CONFIG_END
+    starts = [dt.datetime(2019, 11, 20, 7) + rng.randint(0, 170) * day for _ in range(26)]
+    starts += [end - 30 * day + late * dt.timedelta(seconds=1) for late in (-1, 0, 1, 2)]
+    bought = []
+    for n, start in enumerate(starts):
+        bought.append((n, start))
+        if start < dt.datetime(2020, 2, 1) and n % 2:
+            bought.append((n, start))
+        for _ in range(rng.randint(0, 2)):
+            bought.append((n, start + rng.choice([30 * day, 30 * day + dt.timedelta(seconds=1), 11 * day, 52 * day])))
     return {
-        "orders": [order(o, f"c_{o}", "delivered", at) for o, _, at in rows],
+        "orders": [
+            order(f"b{n}", f"c{n}", "delivered" if n % 9 else "shipped", str(at)) for n, (_, at) in enumerate(bought)
+        ],
         "customers": [
-            {"customer_id": f"c_{o}", "customer_unique_id": person, "customer_state": "NORTH"}
-            for o, person, _ in rows
+            {"customer_id": f"c{n}", "customer_unique_id": f"who{who}", "customer_state": "Coast"}
+            for n, (who, _) in enumerate(bought)
         ],
-        "items": [item(o, 1, "toy", "1.00", "0.00") for o, _, _ in rows],
     }
 
 

@@ -13,7 +13,7 @@ from cartlens.plans.extract import (
 from cartlens.plans.model import StagedModel
 from cartlens.plans.reports import overview, partial_cohorts, purchase_profile, row_profile, sensitivity_summary
 from cartlens.plans.staging import stage_all
-from sample import CONFIG, build, changed, item, raw_tables, records, repeaters, shop
+from sample import CONFIG, build, changed, item, journeys, raw_tables, records, shop
 
 
 def orders(spark, extra=(), rows=None):
@@ -147,7 +147,7 @@ def test_overview_of_the_sample(spark):
 
 
 def test_partial_cohorts(spark):
-    cohorts = ANALYSES["q10_repeat_cohort_30d"](build(spark, repeaters()), CONFIG)
+    cohorts = ANALYSES["q10_repeat_cohort_30d"](build(spark, journeys()), CONFIG)
     assert [row["cohort_month"].month for row in partial_cohorts(cohorts).orderBy("cohort_month").collect()] == [3, 4]
 
 
