@@ -118,6 +118,33 @@ def test_passages_that_repeat_across_documents(spark, docs, none):
     assert passages.passage_classes(none).count() == 0
 
 
+def test_meetings_connect_all_documents_of_a_value_within_and_across_slices(spark):
+    shared = words(78, 70)
+    rows = [(i % 40, (words(300 + i, 60) + " " if i % 3 else "") + shared + " " + words(400 + i, 50)) for i in range(45)] + [(50, ""), (51, "few words")]
+    hashes = {}
+    for key, text in rows:
+        for k in range(passages.HASHES):
+            values = passages._mixed(passages.shingles(text) + passages.SALTS[k])
+            for c in passages.compact_windows(values, 46)[1].tolist():
+                hashes.setdefault((k, int(values[c])), set()).add(key)
+
+    def classes(links):
+        root = {}
+        for a, b in links:
+            merged = root.get(a, {a}) | root.get(b, {b})
+            root.update(dict.fromkeys(merged, merged))
+        return {frozenset(x) for x in root.values()}
+
+    df = spark.createDataFrame(rows, "_key long, _text string")
+    for slices in (1, 6):
+        made = passages.meetings(passages.windows(df.repartition(slices))).collect()
+        assert all(r.a < r.b for r in made)
+        for k in range(passages.HASHES):
+            every = [(min(d), x) for (kind, _), d in hashes.items() if kind == k for x in d if x > min(d)]
+            assert classes([(r.a, r.b) for r in made if r.k == k]) == classes(every)
+            assert {(r.a, r.b) for r in made if r.k == k} <= {(a, b) for (kind, _), d in hashes.items() if kind == k for a in d for b in d}
+
+
 def test_shards_are_even_and_gapless(spark, docs, none, texts):
     rows = [(i, words(i, 5 + i % 90) if i % 3 else "copy " * 30, None) for i in range(900)]
     found = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string, shard int")).toPandas()
