@@ -2,13 +2,13 @@
 
 Sources share all words by weight; a target stops at `most` times the source's size and the excess goes to the
 others by weight, until none is above. A document belongs to a shard by its hash. In each shard the words of a
-source form a line of documents in seeded order, cut into blocks of equal words. The shard's seats, each one
-block, go to the sources by the highest quotients target / (2k + 1), which gives integer quotas per shard and
-source. A quota of several times the line takes every block so often; the rest goes to blocks in seeded order.
-A document takes the words of its blocks.
+source form a line of documents in seeded order, cut into blocks of equal words. The seats of a source, each one
+word of its target, go to its lines by the highest quotients votes / (2k + 1), the votes being the line's part of
+the target; this gives integer quotas per shard and source. A quota of several times the line takes every block so
+often; the rest goes to blocks in seeded order, and ends within the last of them. A document takes the words of its blocks.
 
-Block size is total / `BLOCKS`, so seats and blocks are bounded by a parameter, and each source misses its
-target by less than one block a shard for rounding, and one for the short block at the end of a line.
+Block size is total / `BLOCKS`, so blocks are bounded by a parameter and the number of lines. It does not enter the
+quotas: each source misses its target by at most half a word, and by one for a line that stops at `MOST` passes.
 
 Defined results: a null text has no words and takes none; a null source is a source of its own, last in the order;
 a source without words has no target; a null key is kept; repeated rows are mixed each; an empty table has an empty
@@ -76,7 +76,7 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     lines = pieces.groupBy("s", "shard").agg(F.sum("words").alias("words")).where("words > 0")
     votes = lines.join(aims, "s").withColumn("vote", F.col("target") * F.col("words") / F.col("source_size")).where("vote > 0")
-    taken = written(_quotas(votes, block).join(lines, ["s", "shard"]), "mix-quotas")
+    taken = written(_quotas(votes), "mix-quotas")
     marks = written(_selected(taken, block, seed), "mix-blocks")
 
     # the line of a source in a shard: pieces one after the other, then documents in seeded order
@@ -89,40 +89,39 @@ def mixed(df: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     placed = placed.join(aims, "s").join(taken.select("s", "shard", "whole"), ["s", "shard"], "left")
     for end, at in (("low", F.col("a")), ("high", F.col("a") + F.col("size"))):
         number = F.floor(F.greatest(at - 1, F.lit(0)) / block)
-        here = marks.select("s", "shard", F.col("block").alias("_b"), "ahead", "picked")
+        here = marks.select("s", "shard", F.col("block").alias("_b"), "ahead", "part")
         placed = placed.withColumn("_b", number).join(here, ["s", "shard", "_b"], "left")
-        reached = F.col("ahead") + F.when(F.col("picked"), at - F.col("_b") * block).otherwise(F.lit(0))
-        placed = placed.withColumn(end, F.coalesce(reached, F.lit(0))).drop("_b", "ahead", "picked")
+        reached = F.col("ahead") + F.least(at - F.col("_b") * block, F.col("part"))
+        placed = placed.withColumn(end, F.coalesce(reached, F.lit(0))).drop("_b", "ahead", "part")
     words = F.coalesce(F.col("whole"), F.lit(0)) * F.col("size") + F.col("high") - F.col("low")
     return placed.select(F.col("_key").alias(key), "size", "source_size", "target", words.cast("long").alias("taken"), "h")
 
 
-def _quotas(votes: DataFrame, block: int) -> DataFrame:
-    """(s, shard, whole, rest): seats by highest quotients, as whole passes over the line and further blocks."""
-    shard = Window.partitionBy("shard")
-    seats = votes.withColumns(
-        {"all": F.sum("vote").over(shard), "n": F.count(F.lit(1)).over(shard), "seats": F.round(F.sum("vote").over(shard) / block)}
-    )
-    # no source gets more seats than this, so the quotients left out would not be among the highest
-    most = F.ceil(F.col("vote") * (F.col("seats") + F.col("n") / 2) / F.col("all")) + 1
-    tried = seats.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), most)))
-    rank = F.row_number().over(shard.orderBy((F.col("vote") / (2 * F.col("k") + 1)).desc(), "s", "k"))
-    won = tried.withColumn("rank", rank).where(F.col("rank") <= F.col("seats"))
-    blocks = F.ceil(F.first("words") / block)
-    quota = F.least(F.count(F.lit(1)), MOST * blocks)
-    got = won.groupBy("s", "shard").agg(quota.alias("quota"), blocks.alias("blocks"))
-    return got.select("s", "shard", F.floor(F.col("quota") / F.col("blocks")).alias("whole"), (F.col("quota") % F.col("blocks")).alias("rest"))
+def _quotas(votes: DataFrame) -> DataFrame:
+    """(s, shard, words, whole, rest): words by highest quotients, as whole passes over the line and further words."""
+    source = Window.partitionBy("s")
+    # votes sum to the target, so a quota is within the number of lines of its votes; only these seats are dealt one by one
+    seats = votes.withColumn("n", F.count(F.lit(1)).over(source))
+    seats = seats.withColumn("sure", F.greatest(F.floor("vote") - F.col("n"), F.lit(0)))
+    seats = seats.withColumn("open", F.round("target") - F.sum("sure").over(source))
+    tried = seats.withColumn("k", F.explode(F.sequence("sure", F.floor("vote") + F.col("n"))))
+    rank = F.row_number().over(source.orderBy((F.col("vote") / (2 * F.col("k") + 1)).desc(), "shard", "k"))
+    won = tried.withColumn("won", (rank <= F.col("open")).cast("long"))
+    got = won.groupBy("s", "shard", "words", "sure").agg(F.sum("won").alias("won"))
+    got = got.withColumn("quota", F.least(F.col("sure") + F.col("won"), MOST * F.col("words")))
+    return got.select("s", "shard", "words", F.floor(F.col("quota") / F.col("words")).alias("whole"), (F.col("quota") % F.col("words")).alias("rest"))
 
 
 def _selected(quotas: DataFrame, block: int, seed: int) -> DataFrame:
-    """(s, shard, block, picked, ahead): the blocks taken once more, and the words of such blocks ahead of each."""
+    """(s, shard, block, part, ahead): the words taken once more of each block, from its start, and those of the blocks ahead of it."""
     each = quotas.where("rest > 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("words") / block) - 1)))
     line = Window.partitionBy("s", "shard")
-    drawn = line.orderBy(F.xxhash64(F.lit(seed), "s", "shard", "block"), "block")
-    each = each.withColumn("picked", F.row_number().over(drawn) <= F.col("rest"))
-    size = F.least(F.lit(block), F.col("words") - F.col("block") * block)
-    ahead = F.sum(F.when(F.col("picked"), size).otherwise(F.lit(0))).over(line.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    return each.select("s", "shard", "block", "picked", F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    drawn = line.orderBy(F.xxhash64(F.lit(seed), "s", "shard", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("size", F.least(F.lit(block), F.col("words") - F.col("block") * block))
+    left = F.col("rest") - F.coalesce(F.sum("size").over(drawn), F.lit(0))
+    each = each.withColumn("part", F.greatest(F.least("size", left), F.lit(0)))
+    ahead = F.sum("part").over(line.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    return each.select("s", "shard", "block", "part", F.coalesce(ahead, F.lit(0)).alias("ahead"))
 
 
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:

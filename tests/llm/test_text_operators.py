@@ -195,6 +195,17 @@ def test_mix_meets_targets_and_no_document_exceeds_three_times(spark, docs, none
     assert mixing.mixed(none).count() == 0 == mixing.repeated(none).count()
 
 
+def test_mix_takes_the_targets_of_sources_smaller_than_a_block(spark):
+    rows = [(i, "w " * 20_000, "big") for i in range(60)] + [(100 + i, "two words" if i % 2 else "w " * 25, f"tail{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mixed(df).toPandas()
+    assert sum(found["size"]) // mixing.BLOCKS > 10
+    sums = found.assign(source=found.doc_id.map({i: s for i, _, s in rows})).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert len(sums) == 61 and (abs(sums.taken - sums.target) <= 1).all()
+    kept = mixing.repeated(df).groupBy("source").count().toPandas().set_index("source")["count"]
+    assert all(kept[f"tail{i}"] == 3 for i in range(60))
+
+
 def test_cap_filters_find_the_links_of_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((60, 48))
