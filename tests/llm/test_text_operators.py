@@ -79,6 +79,16 @@ def test_main_text_drops_what_is_no_article_and_site_templates(spark):
     assert html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_main_text_keeps_copies_of_a_page_under_many_addresses(spark):
+    copy = "<title>t</title><body><div id=wrap><article><div><p>The whole article</p></div></article><div>about</div></div></body>"
+    rows = [(i, f"http://h.example/{i}", copy) for i in range(12)]
+    # what is inside a template subtree does not shift the numbers of what comes after it
+    rows += [(100 + i, f"http://k.example/{i}", f"<div>Join <div>our</div> list</div><div>Own {i}</div><section><div>Text {i}</div></section>") for i in range(12)]
+    found = by_key(html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert {found[i][0].text for i in range(12)} == {"The whole article"}
+    assert [found[100 + i][0].text for i in range(12)] == [f"Own {i}\nText {i}" for i in range(12)]
+
+
 def test_warc_round_trip_rejects_marks_inside_payloads(spark):
     fake = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nno\r\n\r\n"
     rows = [(5, "a", "x" * 200), (3, "b", "x" * 200), (3, "b", "x" * 200), (None, "n", "x" * 200), (4, None, "s"), (6, "u", "s"), (7, "v", None), (8, "f", fake + "é" * 60), (9, "g", fake * 40)]
