@@ -89,6 +89,15 @@ def test_main_text_keeps_copies_of_a_page_under_many_addresses(spark):
     assert [found[100 + i][0].text for i in range(12)] == [f"Own {i}\nText {i}" for i in range(12)]
 
 
+def test_main_text_finds_the_template_of_a_section_of_a_big_host_and_of_plain_blocks(spark):
+    menu = "<div><b>Scores</b> and tables</div>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{menu if i < 9 else ''}<h2>Read this first</h2><p>Words of {i}</p><span>Notice</span><article><p>Main {i}</p></article></body>") for i in range(100)]
+    rows += [(200 + i, f"http://k.example/{i}", f"{menu if i < 9 else ''}<h2>Read this first</h2><p>Words of {i}</p><span>Notice</span>") for i in range(100)]
+    found = by_key(html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id")
+    assert [found[i][0].text for i in range(100)] == [f"Main {i}" for i in range(100)]
+    assert [found[200 + i][0].text for i in range(100)] == [f"Words of {i}" for i in range(100)]
+
+
 def test_warc_round_trip_rejects_marks_inside_payloads(spark):
     fake = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nno\r\n\r\n"
     rows = [(5, "a", "x" * 200), (3, "b", "x" * 200), (3, "b", "x" * 200), (None, "n", "x" * 200), (4, None, "s"), (6, "u", "s"), (7, "v", None), (8, "f", fake + "é" * 60), (9, "g", fake * 40)]
