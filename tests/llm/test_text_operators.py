@@ -98,6 +98,21 @@ def test_main_text_finds_the_template_of_a_section_of_a_big_host_and_of_plain_bl
     assert [found[200 + i][0].text for i in range(100)] == [f"Words of {i}" for i in range(100)]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='layout has-sidebar'><p>a</p></div>", ["a"]), ("<article class='post no-comments'>a</article>", ["a"]),
+        ("<main class=with-navbar><section class='social-studies'>a</section></main>", ["a"]), ("<article class='post comments'>a</article>", ["a"]),
+        ("<div class='page sidebar'><main>a</main></div>", ["a"]), ("<div class='sidebar'><article>a</article></div>", ["a"]),
+        ("<article>a</article><div class=comments><article>c</article></div>", ["a"]), ("<article>a <span class='x cookie-banner'>b</span> c</article>", ["a c"]),
+        ("<div><datalist><option>x<option>y</datalist>a</div>", ["a"]), ("<div><video>x</div><p>a</p>", ["a"]), ("<p><button>x</p><p>a</p>", ["a"]),
+        ("<p>a</p><script>x <p>b</p>", ["a"]), ("<p>a</p><svg><title>x</title><g>y</g></svg><select><option>z</select>b", ["a", "b"]),
+    ],
+)
+def test_main_text_drops_only_named_parts(page, text):
+    assert html_text.parse(page, frozenset())[0] == text
+
+
 def test_warc_round_trip_rejects_marks_inside_payloads(spark):
     fake = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nno\r\n\r\n"
     rows = [(5, "a", "x" * 200), (3, "b", "x" * 200), (3, "b", "x" * 200), (None, "n", "x" * 200), (4, None, "s"), (6, "u", "s"), (7, "v", None), (8, "f", fake + "é" * 60), (9, "g", fake * 40)]
