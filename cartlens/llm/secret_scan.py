@@ -3,9 +3,9 @@
 Three patterns (`assign`, `access`, `hex`) report every match. Longer base64 and hex candidates are decoded
 first, and are reported only if what they decode to has the structure of a secret:
 
-* `pem`: a PEM block whose body decodes to a private key;
+* `pem`: a PEM block whose body decodes to a private key, or is one encrypted by what its header lines say;
 * `der`: base64 or hex of a DER key (nested tags and lengths that fill each other exactly, with the fields
-  of a PKCS#1, SEC1 or PKCS#8 private key) or of an OpenSSH key file (length-prefixed strings);
+  of a PKCS#1, DSA, SEC1 or PKCS#8 private key) or of an OpenSSH key file (length-prefixed strings);
 * `jwt`: three base64url parts of which the first is a JSON header with an algorithm, the second JSON;
 * `encoded`: base64 or hex of readable text in which an `assign` or `access` match stands.
 
@@ -38,9 +38,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 #: One of these stands in lower-cased text wherever ASSIGN matches.
 WORDS = ("passw", "secret", "token", "apikey", "api_key")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}")
+#: The body may have header lines (Proc-Type, DEK-Info), and line ends may be escaped as in JSON.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[\x09-\x7e])+)-----END \1-----")
+LINE_END = re.compile(r"(?:\\+[rn]|[\r\n])+")
+PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:.*")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
+#: Breaks and tabs that readable text may hold.
+NO_BREAKS = str.maketrans("", "", "\n\r\t")
 ALL_HEX = re.compile(r"(?:[0-9a-f]{2}){12,}|(?:[0-9A-F]{2}){12,}")
 
 
@@ -78,7 +83,7 @@ def elements(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A PKCS#1, SEC1 or PKCS#8 private key, nested lengths included."""
+    """A PKCS#1, DSA, SEC1 or PKCS#8 private key, nested lengths included."""
     outer = elements(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -88,6 +93,8 @@ def is_der_key(data: bytes) -> bool:
     tags = [t for t, _ in fields]
     if fields[0][1] == b"\x00" and len(fields) >= 9 and set(tags[:9]) == {0x02}:
         return True  # PKCS#1
+    if fields[0][1] == b"\x00" and tags == [0x02] * 6 and len(fields[1][1]) >= 64 and len(fields[2][1]) >= 16:
+        return True  # DSA: version, p, q, g, public and private number
     if fields[0][1] == b"\x01" and tags[1] == 0x04 and len(fields[1][1]) >= 16:
         return True  # SEC1
     if tags[1] == 0x30 and len(tags) >= 3 and tags[2] == 0x04:  # PKCS#8
@@ -96,6 +103,16 @@ def is_der_key(data: bytes) -> bool:
     return False
 
 
+def is_encrypted_key(data: bytes) -> bool:
+    """An encrypted PKCS#8 key: the algorithm, then the encrypted octets."""
+    outer = elements(data)
+    fields = elements(outer[0][1]) if outer and len(outer) == 1 and outer[0][0] == 0x30 else None
+    if not fields or [t for t, _ in fields] != [0x30, 0x04] or len(fields[1][1]) < 16:
+        return False
+    algorithm = elements(fields[0][1])
+    return bool(algorithm) and algorithm[0][0] == 0x06
+
+
 def is_ssh_key(data: bytes) -> bool:
     """An OpenSSH private key file: its mark, then length-prefixed strings."""
     mark = b"openssh-key-v1\0"
@@ -110,6 +127,17 @@ def is_ssh_key(data: bytes) -> bool:
     return True
 
 
+def is_pem_body(body: str) -> bool:
+    """The lines between the marks of a PEM block: headers, then the base64 of a key, which is encrypted if a header says so."""
+    lines = [line.strip() for line in LINE_END.split(body)]
+    headers = [line for line in lines if PEM_HEADER.fullmatch(line)]
+    rest = re.sub(r"\s", "", "".join(line for line in lines if not PEM_HEADER.fullmatch(line)))
+    found = decoded(rest)
+    if any(re.fullmatch(r"Proc-Type:\s*4,\s*ENCRYPTED", h) for h in headers):
+        return any(len(d) >= 16 and len(d) % 8 == 0 for d in found)
+    return any(is_der_key(d) or is_ssh_key(d) or is_encrypted_key(d) for d in found)
+
+
 def is_token(header: str, claims: str) -> bool:
     """A signed token: JSON objects in both parts, an algorithm in the first."""
     try:
@@ -139,8 +167,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     spans = []
     if "PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            body = re.sub(r"\s", "", m[2])
-            if any(is_der_key(d) or is_ssh_key(d) for d in decoded(body)):
+            if is_pem_body(m[2]):
                 spans.append((m.start(), 3, m.end()))
     if "eyJ" in text:
         spans += [(m.start(), 5, m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
@@ -149,7 +176,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
             if is_der_key(data) or is_ssh_key(data):
                 spans.append((m.start(), 4, m.end()))
                 break
-            if data.isascii() and (plain := data.decode()).isprintable() and (ACCESS.search(plain) or any(_assigned(plain))):
+            if data.isascii() and (plain := data.decode()).translate(NO_BREAKS).isprintable() and (ACCESS.search(plain) or any(_assigned(plain))):
                 spans.append((m.start(), 6, m.end()))
                 break
     return spans

@@ -214,6 +214,30 @@ def test_secrets_are_reported_and_decoded_ones_confirmed(spark, docs, none):
     assert len(by_key(secret_scan.scan(docs))[8]) == 2 and secret_scan.scan(none).count() == 0
 
 
+def test_secrets_after_equals_signs_in_lines_and_in_other_key_forms():
+    from base64 import b64encode
+
+    def der(tag, body):
+        size = len(body).to_bytes(2, "big")
+        return bytes([tag, 0x82]) + size + body
+
+    number = lambda n: der(2, b"\x01" * n)
+    rsa = b64encode(der(0x30, bytes([2, 1, 0]) + number(40) * 8)).decode()
+    dsa = b64encode(der(0x30, bytes([2, 1, 0]) + number(128) + number(20) + number(128) * 2 + number(20))).decode()
+    folded = "\n".join(rsa[i : i + 64] for i in range(0, len(rsa), 64))
+    locked = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n" + b64encode(bytes(range(64))).decode()
+    config = b64encode(b"[db]\r\n\tpassword=hunter2hunter2\nport=1\n").decode()
+    block = lambda kind, body, end="\n": f"-----BEGIN {kind}PRIVATE KEY-----{end}{body}{end}-----END {kind}PRIVATE KEY-----"
+    cases = [
+        (f"TLS_KEY={rsa}", [("der", 8)]), (f"a=b&data={config}", [("encoded", 9)]), (config, [("encoded", 0)]), (dsa, [("der", 0)]),
+        (block("", folded.replace("\n", "\\n"), "\\n"), [("pem", 0)]), (block("RSA ", locked), [("pem", 0)]), (block("DSA ", dsa), [("pem", 0)]),
+        (block("RSA ", folded), [("pem", 0)]), (block("", "no key in here"), []), (f"x={b64encode(bytes(range(200))).decode()}", []),
+    ]
+    for text, wanted in cases:
+        found = [(secret_scan.KINDS[k], a) for a, k, _ in secret_scan.confirmed_spans(text)]
+        assert [x for x in found if x[0] in {k for k, _ in wanted} or not wanted] == wanted, text
+
+
 def test_mix_meets_targets_and_no_document_exceeds_three_times(spark, docs, none):
     rows = [(i, words(i, 20 + i % 50), f"s{i % 5}" if i % 11 else None) for i in range(800)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
