@@ -108,7 +108,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of `df` whose key is the smallest of its group; rows without a key are kept if their group has none."""
-    found = near_duplicates(df, key, text, words, distance)
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return df.join(gone, key, "left_anti")
+    """One row of `df` for each group: that of the smallest key, without a key only if no row of the group has one.
+
+    Rows that agree in the key are told apart by their text, and equal ones by a number given as they are written.
+    """
+    columns = df.columns
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    prints = fingerprints(rows.select(F.struct(key, "_row").alias("_id"), text), "_id", text, words)
+    prints = written(prints.select(F.col(f"_id.{key}").alias("_key"), "_id._row", "fp"), "fingerprints")
+    root = components(links(prints.select("fp").distinct(), distance))
+    tree = prints.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    given = tree.join(rows.select("_row", F.xxhash64(text).alias("_hash")), "_row")
+    # a minimum per group, so that a group of any size is combined before it is shuffled
+    place = F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("key"), F.col("_hash").alias("hash"), F.col("_row").alias("row"))
+    first = given.groupBy("root").agg(F.min(place).alias("first")).select(F.col("first.row").alias("_row"))
+    return rows.join(first, "_row").select(*columns)

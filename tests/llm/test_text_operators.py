@@ -316,6 +316,16 @@ def test_simhash_components_equal_brute_force(spark, docs, none, texts):
     assert 1 in kept and 2 not in kept and 5 not in kept
 
 
+def test_keep_first_keeps_one_row_of_each_group(spark, docs, none):
+    a, b, c, d = (words(seed, 60) for seed in (31, 32, 33, 34))
+    rows = [(1, a, "x"), (1, a, "y"), (2, a, "z"), (2, b, "unique text under a key that repeats"), (None, a, "n"), (None, c, "n1"), (None, c, "n2"), (7, d, "d"), (3, d, "d3")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, note string")
+    kept = simhash.keep_first(df).collect()
+    assert sorted((r.text, str(r.doc_id)) for r in kept) == sorted([(a, "1"), (b, "2"), (c, "None"), (d, "3")])
+    assert kept[0].asDict().keys() == {"doc_id", "text", "note"}
+    assert [r.doc_id for r in simhash.keep_first(docs).collect()].count(8) == 1 and simhash.keep_first(none).count() == 0
+
+
 def test_rule_counts_equal_brute_force(docs, none, texts):
     found = by_key(rules.judged(docs))
     for key, text, _ in texts:
