@@ -179,6 +179,24 @@ def test_meetings_connect_all_documents_of_a_value_within_and_across_slices(spar
             assert {(r.a, r.b) for r in made if r.k == k} <= {(a, b) for (kind, _), d in hashes.items() if kind == k for a in d for b in d}
 
 
+def test_exact_passages_meet_although_a_frequent_phrase_is_in_them(spark):
+    phrase, rows, partners = words(79, 30), [], []
+    for i in range(40):
+        rows.append((i, words(1000 + i, 60) + " " + phrase + " " + words(2000 + i, 60)))
+    for j in range(12):  # pairs that alone share 50 words, of which 30 are the phrase
+        passage = words(3000 + j, 10) + " " + phrase + " " + words(4000 + j, 10)
+        for side in range(2):
+            rows.append((100 + 10 * j + 5 * side, words(5000 + 2 * j + side, 60) + " " + passage + " " + words(6000 + 2 * j + side, 60)))
+        partners.append((100 + 10 * j, 105 + 10 * j))
+    found = passages.near_passages(spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "doc_id long, text string")).collect()
+    assert {(r.a, r.b) for r in found} == set(partners)
+    assert all((r.start_a, r.end_a, r.similarity) == (60, 110, 1.0) for r in found)
+    values = np.random.default_rng(1).integers(0, 3, 400).astype(np.uint64)
+    hashed = passages.stretch_hashes(values, 5)
+    stretches = [tuple(values[i : i + 5].tolist()) for i in range(396)]
+    assert len(set(zip(stretches, hashed.tolist(), strict=True))) == len(set(stretches)) == len(set(hashed.tolist()))
+
+
 def test_shards_are_even_and_gapless(spark, docs, none, texts):
     rows = [(i, words(i, 5 + i % 90) if i % 3 else "copy " * 30, None) for i in range(900)]
     found = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string, shard int")).toPandas()
