@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, cap_filters, html_text, mixing, passages, rules, secret_scan, sharding, simhash, warc
+from cartlens.llm import bpe, cap_filters, html_text, manifest, mixing, passages, rules, secret_scan, sharding, simhash, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -57,8 +58,17 @@ def op10_quality(spark: SparkSession, directory: str) -> DataFrame:
     return rules.judged(spark.read.parquet(f"{directory}/documents.parquet"))
 
 
+def op12_manifest(spark: SparkSession, directory: str) -> DataFrame:
+    """Columns as leaves in the order doc_id, source, lang, n_chars, text; every third key is tampered with."""
+    docs = spark.read.parquet(f"{directory}/documents.parquet")
+    every_third = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    return manifest.verified_manifest(docs, columns, "doc_id", "lang", every_third, {"text": lower})
+
+
 def op_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_bpe, op2_main_text, op3_warc, op4_passages, op5_shards, op6_secrets, op7_mix, op8_cap_filters, op9_simhash, op10_quality)
+    every = (op1_bpe, op2_main_text, op3_warc, op4_passages, op5_shards, op6_secrets, op7_mix, op8_cap_filters, op9_simhash, op10_quality, op12_manifest)
     return {f.__name__: f for f in every}
 
 
