@@ -17,6 +17,7 @@ table has no root and an empty result; columns that are not named are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -102,17 +103,17 @@ def last_nodes(levels: list[DataFrame]) -> DataFrame:
     return found
 
 
-def paths(levels: list[DataFrame], tops: DataFrame, extra: list[str]) -> DataFrame:
-    """(g, h, extra, path, subroot) of every node of the first level.
+def paths(levels: list[DataFrame], ended: Callable[[DataFrame], DataFrame], extra: list[str]) -> DataFrame:
+    """(g, idx, h, extra, path, subroot) of every node of the first level.
 
-    `tops` are (g, subroot, path) of the groups' last nodes. `path` has, level by level from the node to the root, the
-    siblings before and behind it, each as one text.
+    `ended` gives the last node of each group its path and subroot. `path` has, level by level from the node to the root,
+    the siblings before and behind it, each as one text.
     """
     known = None
     for k in reversed(range(len(levels))):
         more = extra if k == 0 else []
         nodes = levels[k]
-        done = nodes.where(_height(F.col("n")) <= k * KEPT).join(tops, "g").select("g", "idx", "h", *more, "path", "subroot")
+        done = ended(nodes.where(_height(F.col("n")) <= k * KEPT)).select("g", "idx", "h", *more, "path", "subroot")
         if known is not None:
             trees = _subtrees(nodes, k * KEPT, more)
             own = trees.select("g", "c", F.explode(_siblings(more)).alias("x"))
@@ -165,10 +166,10 @@ def build(leaves: DataFrame, key: str, group: str, extra: list[str]) -> Manifest
 
 def proofs(made: Manifest, extra: list[str]) -> DataFrame:
     """(_key, h, extra, path, subroot) of every leaf."""
-    spark = made.levels[0].sparkSession
-    end = spark.range(1).select(F.lit("").alias("g"), F.lit(made.root).alias("subroot"), F.array().cast(PATH).alias("path"))
-    tops = paths(made.tops, end, ["name"]).select(F.col("name").alias("g"), F.col("h").alias("subroot"), "path")
-    return paths(made.levels, tops, ["_key", *extra]).drop("g", "idx")
+    nothing = {"subroot": F.lit(None).cast("string"), "path": F.array().cast(PATH)}
+    tops = paths(made.tops, lambda node: node.withColumns(nothing), ["name"])
+    tops = tops.select(F.col("name").alias("g"), F.col("h").alias("subroot"), "path")
+    return paths(made.levels, lambda nodes: nodes.join(tops, "g"), ["_key", *extra]).drop("g", "idx")
 
 
 def verified_manifest(

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartlens.llm import bpe, cap_filters, html_text, manifest, mixing, passages, rules, secret_scan, sharding, simhash, warc
+from cartlens.llm import bpe, cap_filters, edit_fingerprints, hard_negatives, html_text, manifest, mixing, passages, rules, secret_scan, sharding, simhash, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -58,6 +58,10 @@ def op10_quality(spark: SparkSession, directory: str) -> DataFrame:
     return rules.judged(spark.read.parquet(f"{directory}/documents.parquet"))
 
 
+def op11_edit_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    return edit_fingerprints.edit_report(spark.read.parquet(f"{directory}/documents.parquet"))
+
+
 def op12_manifest(spark: SparkSession, directory: str) -> DataFrame:
     """Columns as leaves in the order doc_id, source, lang, n_chars, text; every third key is tampered with."""
     docs = spark.read.parquet(f"{directory}/documents.parquet")
@@ -67,8 +71,15 @@ def op12_manifest(spark: SparkSession, directory: str) -> DataFrame:
     return manifest.verified_manifest(docs, columns, "doc_id", "lang", every_third, {"text": lower})
 
 
+def op13_hard_negatives(spark: SparkSession, directory: str) -> DataFrame:
+    """Anchors are the keys divisible by 50; keys divisible by 7 first get the next label of ten."""
+    vectors = spark.read.parquet(f"{directory}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def op_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_bpe, op2_main_text, op3_warc, op4_passages, op5_shards, op6_secrets, op7_mix, op8_cap_filters, op9_simhash, op10_quality, op12_manifest)
+    every = (op1_bpe, op2_main_text, op3_warc, op4_passages, op5_shards, op6_secrets, op7_mix, op8_cap_filters, op9_simhash, op10_quality, op11_edit_fingerprints, op12_manifest, op13_hard_negatives)
     return {f.__name__: f for f in every}
 
 
@@ -129,6 +140,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM c
 """
 
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND len(a.e) = len(b.e)
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike AND id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+), n AS (
+  SELECT p.anchor_id, positive_id, positive_score, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 
 def op_sql() -> dict[str, str]:
-    return {"op3_warc": OP3, "op8_cap_filters": OP8, "op10_quality": OP10}
+    return {"op3_warc": OP3, "op8_cap_filters": OP8, "op10_quality": OP10, "op13_hard_negatives": OP13}
