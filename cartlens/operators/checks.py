@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,12 +43,24 @@ def reconcile(
     )
 
 
+def row_digest(df: DataFrame) -> Column:
+    """MD5 of a row: per column `-` for NULL, else its length in bytes, a colon and its text."""
+
+    def part(name: str) -> Column:
+        text = F.col(f"`{name}`").cast("string")
+        return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    return F.md5(F.concat(*[part(name) for name in df.columns]).cast("binary"))
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-independent checksum of all columns."""
-    row_hash = F.xxhash64(*df.columns).cast("decimal(38,0)")
-    return df.agg(
+    """Row count and an order-independent checksum: sums of the two halves of the row digests."""
+    digests = df.select(row_digest(df).alias("_digest"))
+    halves = [F.sum(F.conv(F.substring("_digest", at, 15), 16, 10).cast("decimal(38,0)")) for at in (1, 16)]
+    zero = F.lit(0).cast("decimal(38,0)")
+    return digests.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(row_hash), F.lit(0).cast("decimal(38,0)")).alias("checksum"),
+        F.concat_ws(" ", *[F.coalesce(half, zero).cast("string") for half in halves]).alias("checksum"),
     )
 
 

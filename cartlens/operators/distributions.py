@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A 64-bit tick is read as three digits of 22, 21 and 21 bits, so a ranking window
-# never holds more than 2**22 rows, whatever the number of rows and values is.
-_HIGH, _MIDDLE = 42, 21
-
+from cartlens.operators.numbering import in_ranges
 
 def expand_scopes(df: DataFrame, scopes: dict[str, list[str]], dims: list[str]) -> DataFrame:
     """Repeat each row once per scope and blank the dimensions outside the scope."""
@@ -27,32 +26,13 @@ def expand_scopes(df: DataFrame, scopes: dict[str, list[str]], dims: list[str])
     return exploded.select("_scope.*", *rest)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[f"_k_{key}"])
-    return condition
-
-
-def _locate(counts: DataFrame, keys: list[str], digit: str, wanted: Column) -> DataFrame:
-    """Find, per key, the digit that holds each wanted rank and the rank inside it."""
-    whole = Window.partitionBy(*keys)
-    running = whole.orderBy(digit).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = counts.withColumns({"_upto": F.sum("_n").over(running)})
-    placed = placed.withColumn("_before", F.col("_upto") - F.col("_n"))
-    if "_wanted" not in counts.columns:
-        placed = placed.withColumn("_total", F.sum("_n").over(whole)).withColumn("_wanted", wanted)
-    inside = F.filter(
-        "_wanted",
-        lambda w: (w["position"] >= F.col("_before")) & (w["position"] < F.col("_upto")),
-    )
-    moved = F.transform(
-        inside,
-        lambda w: F.struct(
-            w["slot"].alias("slot"), (w["position"] - F.col("_before")).alias("position")
-        ),
+def value_counts(df: DataFrame, dims: list[str], ticks: Column) -> DataFrame:
+    """(dims, _ticks, _n): how often each value occurs in each finest group."""
+    return (
+        df.select(*dims, ticks.cast("bigint").alias("_ticks"))
+        .groupBy(*dims, "_ticks")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
-    return placed.withColumn("_wanted", moved).filter(F.size("_wanted") > 0)
 
 
 def scoped_distribution(
@@ -60,107 +40,82 @@ def scoped_distribution(
     scopes: dict[str, list[str]],
     ticks: Column,
     quantiles: dict[str, float],
+    scratch: str | None = None,
 ) -> DataFrame:
     """Row count, value count, min, max and interpolated quantiles per scope.
 
     ``ticks`` is an integer value (cents, microseconds); NULL ticks are counted as
     rows only. The result has scope, the dimensions, rows, values, min_ticks,
     max_ticks and one double column per quantile, all still in ticks.
-
-    Rows are first reduced to value counts at the finest grouping. That single
-    shuffled relation feeds every step, and the quantile ranks are narrowed digit
-    by digit, so no task ever holds all values of a large group.
     """
     dims = list(dict.fromkeys(dim for kept in scopes.values() for dim in kept))
-    keys = ["scope", *dims]
-    fine = (
-        df.select(*dims, ticks.cast("bigint").alias("_ticks"))
-        .groupBy(*dims, "_ticks")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    value = F.col("_ticks")
-    valued = F.when(value.isNotNull(), F.col("_n"))
-    summary = (
-        expand_scopes(
-            fine.groupBy(*dims).agg(
-                F.sum("_n").alias("_rows"),
-                F.coalesce(F.sum(valued), F.lit(0)).alias("_values"),
-                F.min(value).alias("_low"),
-                F.max(value).alias("_high"),
-            ),
-            scopes,
-            dims,
-        )
-        .groupBy(*keys)
-        .agg(
-            F.sum("_rows").alias("rows"),
-            F.sum("_values").alias("values"),
-            F.min("_low").alias("min_ticks"),
-            F.max("_high").alias("max_ticks"),
-        )
-    )
-
-    # NULL ticks end up in a group without a count and leave after the aggregation.
-    # Filtering them earlier would be pushed into the scan and stop the reuse of
-    # the value counts by the summary.
-    digits_of = fine.select(
-        *dims,
-        F.shiftright(value, _HIGH).alias("_d1"),
-        F.shiftright(value, _MIDDLE).alias("_d2"),
-        value.alias("_d3"),
-        valued.alias("_n"),
-    )
+    counts = expand_scopes(value_counts(df, dims, ticks), scopes, dims)
+    return counted_distribution(counts, ["scope", *dims], quantiles, scratch)
 
-    def within(counts, hits, digit):
-        on = [*keys, digit]
-        marks = hits.select(*[F.col(name).alias(f"_k_{name}") for name in on], "_wanted")
-        return counts.join(marks, _same(counts, marks, on)).drop(*[f"_k_{name}" for name in on])
 
-    def level(*digits, hits=None, distinct=False):
-        """Counts per scope and digits; with hits, only inside the digits already chosen."""
-        rows = digits_of.select(*dims, *digits, "_n")
-        if not distinct:
-            rows = rows.groupBy(*dims, *digits).agg(F.sum("_n").alias("_n"))
-        rows = expand_scopes(rows, scopes, dims)
-        counts = rows.groupBy(*keys, *digits).agg(F.sum("_n").alias("_n"))
-        counts = counts.filter(F.col("_n").isNotNull())
-        return counts if hits is None else within(counts, hits, digits[0])
+def counted_distribution(
+    counts: DataFrame, keys: list[str], quantiles: dict[str, float], scratch: str | None = None
+) -> DataFrame:
+    """The same from value counts (keys, _ticks, _n), by selection from sorted ranges.
 
-    slots = list(quantiles.items())
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(2 * i + side).alias("slot"),
-                rounding((F.col("_total") - 1).cast("double") * F.lit(q))
-                .cast("bigint")
-                .alias("position"),
-            )
-            for i, (_, q) in enumerate(slots)
-            for side, rounding in ((0, F.floor), (1, F.ceil))
-        ]
+    The counts of all groups are written in one order (group, value), cut at sampled
+    splitters. The totals of the ranges, one row for each group and range, tell in which
+    range of its group each wanted rank lies, and only within that range are counts added
+    up. So no task holds more than a range, however many values a group has, and all
+    groups and ranks are found together.
+    """
+    whole = counts.groupBy(*keys, "_ticks").agg(F.sum("_n").alias("_n"))
+    order = [*map(F.col, keys), F.col("_ticks").asc_nulls_last()]
+    ranged = in_ranges(whole, order, "value-counts", scratch).drop("_seq")
+    valued = F.when(F.col("_ticks").isNotNull(), F.col("_n"))
+    ranges = ranged.groupBy(*keys, "_range").agg(
+        F.sum("_n").alias("_rows"),
+        F.coalesce(F.sum(valued), F.lit(0)).alias("_values"),
+        F.min("_ticks").alias("_low"),
+        F.max("_ticks").alias("_high"),
     )
-    first = _locate(level("_d1"), keys, "_d1", wanted).select(*keys, "_d1", "_wanted")
-    second = _locate(level("_d1", "_d2", hits=first), [*keys, "_d1"], "_d2", wanted)
-    second = second.select(*keys, "_d2", "_wanted")
-    # The full value is already unique per finest group, so it is not reduced again.
-    values = level("_d2", "_d3", hits=second, distinct=True)
-    third = _locate(values, [*keys, "_d2"], "_d3", wanted)
-
-    exact = third.select(*keys, "_d3", F.explode("_wanted.slot").alias("_slot"))
-    bounds = exact.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("_slot") == slot, F.col("_d3"))).alias(f"_s{slot}")
-            for slot in range(2 * len(slots))
-        ]
+    group = Window.partitionBy(*keys)
+    ahead = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    known = ranges.withColumns(
+        {
+            "rows": F.sum("_rows").over(group),
+            "values": F.sum("_values").over(group),
+            "min_ticks": F.min("_low").over(group),
+            "max_ticks": F.max("_high").over(group),
+            "_before": F.coalesce(F.sum("_values").over(ahead), F.lit(0)),
+            "_first": F.row_number().over(group.orderBy("_range")) == 1,
+        }
+    )
+    ranks = [
+        rounding((F.col("values") - 1).cast("double") * F.lit(q)).cast("bigint")
+        for q in quantiles.values()
+        for rounding in (F.floor, F.ceil)
+    ]
+    upto = F.col("_before") + F.col("_values")
+    here = [(rank >= F.col("_before")) & (rank < upto) for rank in ranks]
+    # the ranges that hold a wanted rank; each group keeps its first range, so that none is lost
+    wanted = known.where(F.col("_first") | reduce(lambda a, b: a | b, here))
+    slots = [f"_rank{i}" for i in range(len(ranks))]
+    summary = ["rows", "values", "min_ticks", "max_ticks"]
+    named = [F.col(name).alias(f"_k_{name}") for name in keys]
+    hits = wanted.select(
+        *named, F.col("_range").alias("_r"), "_before", *summary,
+        *[F.when(at, rank).alias(slot) for slot, rank, at in zip(slots, ranks, here)],
     )
-    marks = bounds.select(
-        *[F.col(name).alias(f"_k_{name}") for name in keys],
-        *[f"_s{slot}" for slot in range(2 * len(slots))],
+    match = (F.col("_range") == F.col("_r")) & F.col("_ticks").isNotNull()
+    for name in keys:
+        match = match & F.col(name).eqNullSafe(F.col(f"_k_{name}"))
+    marks = [f"_k_{name}" for name in keys]
+    inside = Window.partitionBy(*marks, "_r").orderBy("_ticks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = hits.join(ranged, match, "left").withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    within = [(F.col(slot) >= F.col("_upto") - F.col("_n")) & (F.col(slot) < F.col("_upto")) for slot in slots]
+    found = placed.groupBy(*marks).agg(
+        *[F.max(name).alias(name) for name in summary],
+        *[F.max(F.when(at, F.col("_ticks"))).cast("double").alias(slot) for slot, at in zip(slots, within)],
     )
-    joined = summary.join(marks, _same(summary, marks, keys), "left")
     columns = []
-    for i, (name, q) in enumerate(slots):
-        low, high = F.col(f"_s{2 * i}").cast("double"), F.col(f"_s{2 * i + 1}").cast("double")
+    for i, (name, q) in enumerate(quantiles.items()):
+        low, high = F.col(slots[2 * i]), F.col(slots[2 * i + 1])
         at = (F.col("values") - 1).cast("double") * F.lit(q)
         columns.append((low + (high - low) * (at - F.floor(at).cast("double"))).alias(name))
-    return joined.select(*keys, "rows", "values", "min_ticks", "max_ticks", *columns)
+    return found.select(*[F.col(f"_k_{name}").alias(name) for name in keys], *summary, *columns)

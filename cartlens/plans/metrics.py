@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartlens.functions.measures import safe_ratio
 from cartlens.functions.time import days_from_micros
-from cartlens.operators.distributions import scoped_distribution
-from cartlens.operators.samples import sample_expand
+from cartlens.operators.distributions import counted_distribution, scoped_distribution, value_counts
 from cartlens.plans.model import CANCELED, DELIVERED, DELIVERY_MICROS
 
 MIN_INVESTIGATION_ORDERS = 100
@@ -138,6 +138,41 @@ class Filters:
         return df
 
 
+def _counters(wanted: set[str], chosen: Column | None = None) -> list[Column]:
+    """The counts behind the wanted measures, of all rows or of those for which a condition holds."""
+    rules = {name: rule for name, rule in _predicates().items() if name in wanted}
+    counters = [F.count_if(rule if chosen is None else chosen & rule).alias(name) for name, rule in rules.items()]
+    if "gmv" in wanted:
+        sold = F.col("order_status") == DELIVERED
+        goods = F.sum(F.when(sold if chosen is None else chosen & sold, F.col("merchandise_value")))
+        counters.append(F.coalesce(goods, F.lit(0)).cast("decimal(38,2)").alias("gmv"))
+    return counters
+
+
+def _derived(counts: DataFrame, wanted: set[str], min_orders: int) -> DataFrame:
+    """Ratios and masked measures from counts."""
+    for name, (top, bottom) in RATIOS.items():
+        if name in wanted:
+            counts = counts.withColumn(name, safe_ratio(F.col(top), F.col(bottom)))
+    for name, source in MASKED.items():
+        if name in wanted:
+            shown = F.col("delivered_orders") >= min_orders
+            counts = counts.withColumn(name, F.when(shown, F.col(source)))
+    return counts
+
+
+def _with_quantiles(result: DataFrame, spread: DataFrame, by: list[str]) -> DataFrame:
+    spread = spread.select(
+        *[F.col(name).alias("_" + name) for name in by],
+        *[days_from_micros(F.col(name)).alias(name) for name in QUANTILES],
+    )
+    if not by:
+        packed = spread.select(F.struct(*QUANTILES)).scalar()
+        return result.withColumn("_spread", packed).select("*", "_spread.*")
+    match = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col("_" + name)) for name in by])
+    return result.join(spread, match, "left")
+
+
 def metrics(
     orders: DataFrame,
     by: list[str] | None = None,
@@ -150,56 +185,59 @@ def metrics(
     """
     by = list(by or [])
     wanted = _closure(names)
-    counters = [
-        F.count_if(rule).alias(name) for name, rule in _predicates().items() if name in wanted
-    ]
-    if "gmv" in wanted:
-        goods = F.sum(F.when(F.col("order_status") == DELIVERED, F.col("merchandise_value")))
-        counters.append(F.coalesce(goods, F.lit(0)).cast("decimal(38,2)").alias("gmv"))
-    result = orders.groupBy(*by).agg(*counters) if by else orders.agg(*counters)
-    for name, (top, bottom) in RATIOS.items():
-        if name in wanted:
-            result = result.withColumn(name, safe_ratio(F.col(top), F.col(bottom)))
-    for name, source in MASKED.items():
-        if name in wanted:
-            shown = F.col("delivered_orders") >= min_orders
-            result = result.withColumn(name, F.when(shown, F.col(source)))
+    counters = _counters(wanted)
+    result = _derived(orders.groupBy(*by).agg(*counters) if by else orders.agg(*counters), wanted, min_orders)
     if wanted & set(QUANTILES):
-        spread = scoped_distribution(
-            orders.filter(F.col("order_status") == DELIVERED),
-            {"all": by},
-            F.col(DELIVERY_MICROS),
-            QUANTILES,
-        )
-        spread = spread.select(
-            F.col("scope").alias("_scope"),
-            *[F.col(name).alias("_" + name) for name in by],
-            *[days_from_micros(F.col(name)).alias(name) for name in QUANTILES],
-        )
-        match = F.lit("all") == F.col("_scope")
-        for name in by:
-            match = match & F.col(name).eqNullSafe(F.col("_" + name))
-        if by:
-            result = result.join(spread, match, "left")
-        else:
-            packed = spread.select(F.struct(*QUANTILES)).scalar()
-            result = result.withColumn("_spread", packed).select("*", "_spread.*")
+        sold = orders.filter(F.col("order_status") == DELIVERED)
+        spread = scoped_distribution(sold, {"all": by}, F.col(DELIVERY_MICROS), QUANTILES)
+        result = _with_quantiles(result, spread.drop("scope"), by)
     return result.select(*by, *names)
 
 
-def metrics_by_context(orders: DataFrame, contexts: dict[str, Column], names=RECONCILED) -> DataFrame:
+def metrics_by_context(
+    orders: DataFrame,
+    contexts: dict[str, Column],
+    names=RECONCILED,
+    min_orders: int = MIN_INVESTIGATION_ORDERS,
+) -> DataFrame:
     """The measures for several named, possibly overlapping filter contexts.
 
-    Every context appears, also when no row belongs to it.
+    Every context appears, also when no row belongs to it. A row carries its contexts as
+    the bits of a mask, so it is read once for all of them: the counts of all contexts
+    are conditional counters of one aggregate, and delivery times are counted per mask
+    and value before a count is added to each of its contexts.
     """
-    found = metrics(sample_expand(orders, contexts, "context"), ["context"], names)
-    labels = orders.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(label) for label in contexts])).alias("context")
+    wanted = _closure(names)
+    bits = {label: 1 << i for i, label in enumerate(contexts)}
+    mask = reduce(
+        lambda a, b: a.bitwiseOR(b),
+        [F.when(rule, bits[label]).otherwise(0).cast("bigint") for label, rule in contexts.items()],
     )
-    counts = [name for name in names if name == "gmv" or name.endswith("_orders")]
-    kept = [name for name in counts if name not in MASKED]
-    filled = labels.join(found, "context", "left")
-    return filled.withColumns({name: F.coalesce(F.col(name), F.lit(0)) for name in kept})
+    masked = orders.withColumn("_mask", mask).where(F.col("_mask") != 0)
+    within = {label: F.col("_mask").bitwiseAND(bit) != 0 for label, bit in bits.items()}
+    packs = [F.struct(*_counters(wanted, rule)).alias(f"_pack{bits[label]}") for label, rule in within.items()]
+    rows = F.array(*[F.struct(F.lit(label).alias("context"), F.col(f"_pack{bit}").alias("_pack")) for label, bit in bits.items()])
+    counts = masked.agg(*packs).select(F.explode(rows).alias("_row")).select("_row.context", "_row._pack.*")
+    result = _derived(counts, wanted, min_orders)
+    if wanted & set(QUANTILES):
+        sold = value_counts(masked.filter(F.col("order_status") == DELIVERED), ["_mask"], F.col(DELIVERY_MICROS))
+        members = F.filter(F.array(*[F.when(rule, F.lit(label)) for label, rule in within.items()]), lambda x: x.isNotNull())
+        spread = counted_distribution(sold.select(F.explode(members).alias("context"), "_ticks", "_n"), ["context"], QUANTILES)
+        result = _with_quantiles(result, spread, ["context"])
+    return result.select("context", *names)
+
+
+def reconciliation_contexts(orders: DataFrame, config) -> dict[str, Column]:
+    """The whole window, its last month, and the state with most delivered orders (the first by name of equal ones)."""
+    sold = orders.filter(F.col("order_status") == DELIVERED)
+    largest = sold.groupBy("customer_state").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "customer_state").first()
+    month = F.trunc(F.lit(config.analysis_end), "MM")
+    state = largest["customer_state"] if largest else None
+    return {
+        "WINDOW": F.lit(True),
+        "MONTH": F.col("purchase_month") == month,
+        "STATE": F.coalesce(F.col("customer_state") == F.lit(state), F.lit(False)),
+    }
 
 
 def item_gmv(items: DataFrame, by: list[str]) -> DataFrame:

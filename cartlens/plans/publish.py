@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable, Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -14,7 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartlens.config import AnalysisConfig
 from cartlens.plans.analyses import ANALYSES, CUSTOMER_LEVEL, result_order
-from cartlens.plans.extract import WHITELIST, extract_tables, require_public, require_reconciled
+from cartlens.plans.extract import (
+    WHITELIST,
+    category_groups,
+    extract_tables,
+    require_public,
+    require_reconciled,
+)
+from cartlens.plans.metrics import (
+    ALL_ORDER_METRICS,
+    fact_columns,
+    item_gmv,
+    metrics,
+    metrics_by_context,
+    reconciliation_contexts,
+)
 from cartlens.plans.model import (
     ITEM_COLUMNS,
     ORDER_COLUMNS,
@@ -28,10 +40,11 @@ from cartlens.plans.quality import (
     QualityError,
     analysis_checks,
     model_checks,
+    quality_report,
     require_passed,
     staging_checks,
 )
-from cartlens.plans.reports import purchase_profile, row_profile
+from cartlens.plans.reports import purchase_profile, report_tables, row_profile
 from cartlens.plans.staging import stage_table
 from cartlens.sources.csv_source import (
     file_manifest,
@@ -39,15 +52,16 @@ from cartlens.sources.csv_source import (
     snapshot_fingerprint,
     source_manifest,
 )
-from cartlens.sources.files import exists, read_json, write_json
+from cartlens.sources import releases
+from cartlens.sources.files import exists, read_json, remove
+from cartlens.sources.releases import ReleaseError
 from cartlens.sources.results import export_csv, read_table, write_table
 
-RUN_ID = re.compile(r"r[0-9a-f]{32}")
 PARALLEL_JOBS = 6
 DIMENSIONS = ("dim_date", "dim_customer_state", "dim_category")
 
 
-class RunError(RuntimeError):
+class RunError(ReleaseError):
     """There is no usable published run."""
 
 
@@ -134,34 +148,44 @@ def run(
 ) -> Run:
     """Run everything from CSV sources (a directory) or all-text tables, then publish.
 
-    Every run writes below its own folder. The pointer to the current run moves only
-    when all blocking checks passed, so a failed run leaves the previous one in place.
+    Every run writes below its own folder and is committed under its number only when all
+    blocking checks passed, so a failed run leaves the current one in place, and so does an
+    older run that ends after a newer one.
     """
     if not isinstance(config, AnalysisConfig):
         config = AnalysisConfig.from_mapping(config)
-    root = _root(output)
-    run_id = "r" + uuid.uuid4().hex
-    path = f"{root}/runs/{run_id}"
+
+    def fill(path: str) -> dict:
+        return _execute(spark, raw, path, config, locations)
+
+    path, status = _released(spark, output, fill, {"config": config.as_dict()})
+    return Run(spark, path, status)
+
+
+def _released(
+    spark: SparkSession, output: str, fill: Callable[[str], dict], known: dict
+) -> tuple[str, dict]:
+    """Fill the folder of a new release, then commit it; a failure is recorded with its check rows."""
+    releases.recover(spark, output)
+    ticket = releases.begin(spark, output)
     try:
-        status = _execute(spark, raw, path, config, locations)
+        status = fill(ticket.path)
     except Exception as error:
         failure = {"status": "failed", "error": type(error).__name__, "message": str(error)}
-        write_json(spark, f"{path}/failed.json", failure | {"config": config.as_dict()})
+        releases.fail(spark, ticket, failure | {"checks": getattr(error, "checks", [])} | known)
         raise
-    write_json(spark, f"{path}/run.json", status)
-    pointer = {name: status[name] for name in ("status", "config", "source_fingerprint")}
-    write_json(spark, f"{root}/current.json", {"run_id": run_id} | pointer)
-    return Run(spark, path, status)
+    releases.finish(spark, ticket, status)
+    return ticket.path, status
 
 
 def _execute(spark, raw, path, config, locations) -> dict:
     files = None
     if not isinstance(raw, Mapping):
         files = (str(raw), locations)
-        raw = read_sources(spark, str(raw), locations)
+        raw = read_sources(spark, str(raw), locations, f"{path}/landing")
     sources = {"sources": partial(source_manifest, raw)}
     if files is not None:
-        sources["files"] = partial(file_manifest, spark, *files)
+        sources["files"] = partial(file_manifest, spark, *files, f"{path}/landing")
     staging = {table: partial(stage_table, df, table) for table, df in raw.items()}
     manifest, staged = _together(
         spark,
@@ -200,11 +224,15 @@ def _execute(spark, raw, path, config, locations) -> dict:
     described = _together(
         spark,
         [
-            partial(export_csv, df, f"{path}/csv/{name}", result_order(name) if name in results else None)
+            partial(
+                export_csv, df, f"{path}/csv/{name}", result_order(name) if name in results else None,
+                f"{path}/landing/{name}",
+            )
             for name, df in public.items()
         ],
     )
     exports = dict(zip(public, described))
+    remove(spark, f"{path}/landing")
 
     checks = [row for gate in gates for row in gate.collect()]
     return {
@@ -237,24 +265,69 @@ def load_run(spark: SparkSession, path: str, approved: AnalysisConfig | None = N
 
 
 def load_current(spark: SparkSession, output: str, approved: AnalysisConfig | None = None) -> Run:
-    """Open the run that the pointer names. The name is validated, so it cannot leave the folder."""
-    root = _root(output)
-    if not exists(spark, f"{root}/current.json"):
-        raise RunError("no current pointer: nothing was published yet")
-    pointer = read_json(spark, f"{root}/current.json")
-    run_id = pointer.get("run_id")
-    if not isinstance(run_id, str) or RUN_ID.fullmatch(run_id) is None:
-        raise RunError("invalid current pointer")
-    return load_run(spark, f"{root}/runs/{run_id}", approved)
-
-
-def publish_extract(opened: Run, output: str) -> None:
-    """Write the anonymised extract after key, privacy and reconciliation gates."""
+    """Open the newest committed run."""
+    try:
+        path = releases.current(spark, output)
+    except ReleaseError as error:
+        raise RunError(str(error)) from error
+    return load_run(spark, path, approved)
+
+
+def _published(opened: Run, output: str, tables: Mapping[str, DataFrame], kind: str) -> str:
+    """Release public tables as CSV with a manifest; returns their folder."""
+    spark = opened.spark
+    public = {name: require_public(df, name) for name, df in tables.items()}
+
+    def fill(path: str) -> dict:
+        jobs = [partial(export_csv, df, f"{path}/{name}", None, f"{path}/landing/{name}") for name, df in public.items()]
+        exports = dict(zip(public, _together(spark, jobs)))
+        remove(spark, f"{path}/landing")
+        return {
+            "status": "passed",
+            "kind": kind,
+            "source_run": opened.path.rsplit("/", 1)[-1],
+            "source_fingerprint": opened.status["source_fingerprint"],
+            "config": opened.config.as_dict(),
+            "exports": exports,
+        }
+
+    return _released(spark, output, fill, {"kind": kind})[0]
+
+
+def publish_extract(opened: Run, output: str) -> str:
+    """Release the anonymised extract after key, privacy and reconciliation gates."""
     model_path = f"{opened.path}/model"
     read_table(opened.spark, f"{model_path}/fact_orders", list(ORDER_COLUMNS), "order_id")
     read_table(opened.spark, f"{model_path}/fact_order_items", list(ITEM_COLUMNS))
     tables = extract_tables(opened.model, opened.config)
     require_reconciled(tables)
-    root = _root(output)
-    for name in WHITELIST:
-        tables[name].write.mode("errorifexists").option("header", True).csv(f"{root}/{name}")
+    return _published(opened, output, {name: tables[name] for name in WHITELIST}, "extract")
+
+
+def publish_reports(opened: Run, output: str) -> str:
+    """Release the aggregate reports of a run: headline figures, sensitivity, cohorts, data profile and checks."""
+    profile = {name: opened.spark.read.parquet(f"{opened.path}/profile/{name}") for name in ("rows", "months")}
+    tables = report_tables(opened.results(), opened.config) | {
+        "quality": quality_report(opened.quality),
+        "profile_rows": profile["rows"],
+        "profile_months": profile["months"],
+    }
+    return _published(opened, output, tables, "reports")
+
+
+def publish_metrics(opened: Run, output: str) -> str:
+    """Release the measures of a run with their reconciliation contexts; refused if both facts disagree."""
+    tables = extract_tables(opened.model, opened.config)
+    require_reconciled(tables)
+    orders = opened.model.orders(fact_columns(ALL_ORDER_METRICS, ["customer_state", "purchase_month", "purchase_date"]), opened.config)
+    contexts = reconciliation_contexts(orders, opened.config)
+    items = opened.model.items([*WHITELIST["fact_order_items"]], opened.config)
+    grouped = items.join(category_groups(items, opened.model.categories()), "category")
+    measures = {
+        "measures": metrics(orders, [], ALL_ORDER_METRICS),
+        "measures_by_month": metrics(orders, ["purchase_month"], ALL_ORDER_METRICS),
+        "measures_by_state": metrics(orders, ["customer_state"], ALL_ORDER_METRICS),
+        "measures_by_context": metrics_by_context(orders, contexts),
+        "item_amount_by_category_group": item_gmv(grouped, ["category_group"]),
+    }
+    return _published(opened, output, measures, "metrics")

@@ -47,7 +47,11 @@ FOREIGN_KEYS = [
 
 
 class QualityError(RuntimeError):
-    """At least one blocking check failed."""
+    """At least one blocking check failed; `checks` are their names."""
+
+    def __init__(self, message: str, checks: list[str] = ()):
+        super().__init__(message)
+        self.checks = list(checks)
 
 
 @dataclass(frozen=True)
@@ -440,7 +444,7 @@ def require_passed(checks: DataFrame) -> None:
     blocking = checks.filter(~F.col("passed") & (F.col("severity") == ERROR))
     names = [row["check"] for row in blocking.select("check").collect()]
     if names:
-        raise QualityError("blocking quality checks failed: " + ", ".join(names))
+        raise QualityError("blocking quality checks failed: " + ", ".join(names), names)
 
 
 def quality_report(checks: DataFrame) -> DataFrame:

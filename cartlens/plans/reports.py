@@ -149,6 +149,23 @@ def overview(results: dict[str, DataFrame]) -> DataFrame:
     )
 
 
+def top_states(states: DataFrame, n: int = 3) -> DataFrame:
+    """The states to look at first, with all their figures, in order."""
+    return states.filter(F.col("investigation_rank") <= n).orderBy("investigation_rank")
+
+
+def report_tables(results: dict[str, DataFrame], config) -> dict[str, DataFrame]:
+    """All aggregate reports from finished results; the customer-level result is not among them."""
+    by = {name[:3]: df for name, df in results.items()}
+    return {
+        "overview": overview(results),
+        "overview_states": top_states(by["q04"]),
+        "sensitivity": sensitivity_summary(by["q08"], config.min_group_orders),
+        "cohorts": by["q10"],
+        "partial_cohorts": partial_cohorts(by["q10"]),
+    }
+
+
 def row_profile(
     raw: dict[str, DataFrame],
     staged: dict[str, DataFrame],

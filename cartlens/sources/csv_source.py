@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import types as T
 
 from cartlens.operators.checks import table_fingerprint
 from cartlens.plans.staging import COLUMNS
+from cartlens.sources.file_lines import landed_lines, levels_for, numbered, tree_hash
+from cartlens.sources.quoted_csv import read_quoted
 
 
 class SourceError(ValueError):
@@ -23,9 +26,8 @@ class SourceError(ValueError):
 class Source:
     """File name pattern below the input directory.
 
-    ``multiline`` allows line breaks inside quoted fields, at the price of one task
-    per file; only free-text sources need it. Large free-text feeds should arrive
-    as many files.
+    ``multiline`` allows line breaks inside quoted fields; only free-text sources need it. Such files are read by
+    byte ranges, with their lines landed once.
     """
 
     pattern: str
@@ -81,11 +83,17 @@ def read_source(
     table: str,
     locations: Mapping[str, str] | None = None,
     multiline: bool | None = None,
+    scratch: str | None = None,
 ) -> DataFrame:
-    """All-text table. Columns beyond the declared ones are kept and tolerated."""
+    """All-text table. Columns beyond the declared ones are kept and tolerated.
+
+    The lines of a multi-line source are landed below ``scratch`` (default: the shared folder of the session).
+    """
     path = source_path(directory, table, locations)
     header = read_header(spark, path)
     check_header(path, header, list(COLUMNS[table]))
+    if SOURCES[table].multiline if multiline is None else multiline:
+        return read_quoted(spark, path, header, scratch)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     return (
         spark.read.schema(schema)
@@ -96,52 +104,53 @@ def read_source(
         .option("enforceSchema", False)
         # Parse whole rows, so that a malformed row fails also when few columns are read.
         .option("columnPruning", False)
-        .option("multiLine", SOURCES[table].multiline if multiline is None else multiline)
         .csv(path)
     )
 
 
 def read_sources(
-    spark: SparkSession, directory: str, locations: Mapping[str, str] | None = None
+    spark: SparkSession,
+    directory: str,
+    locations: Mapping[str, str] | None = None,
+    scratch: str | None = None,
 ) -> dict[str, DataFrame]:
-    return {table: read_source(spark, directory, table, locations) for table in SOURCES}
+    return {table: read_source(spark, directory, table, locations, scratch=scratch) for table in SOURCES}
 
 
 def file_manifest(
-    spark: SparkSession, directory: str, locations: Mapping[str, str] | None = None
+    spark: SparkSession,
+    directory: str,
+    locations: Mapping[str, str] | None = None,
+    scratch: str | None = None,
 ) -> DataFrame:
-    """Name, size and content fingerprint of every source file, alike at every size.
+    """Name, size and content hash of every source file, alike at every size.
 
-    The fingerprint is a SHA-256 over the number of lines and two sums of line digests. Sums don't depend on
-    the order of lines, so a large file is read by many tasks.
+    The hash is the root of a tree over the lines in their order with the file's size, so order and line ends count. It
+    does not depend on how many tasks read the file.
     """
-    frames = []
-    for table in SOURCES:
-        path = source_path(directory, table, locations)
-        # an empty file has no lines, so names and sizes come from the listing
-        files = spark.read.format("binaryFile").load(path).select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")
-        )
-        digest = F.md5("value")
-        halves = [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16)]
-        lines = spark.read.text(path).select(
-            F.col("_metadata.file_path").alias("path"), halves[0].alias("first"), halves[1].alias("second")
-        )
-        content = lines.groupBy("path").agg(
-            F.concat_ws(" ", F.count(F.lit(1)), F.sum("first"), F.sum("second")).alias("content")
+    paths = [source_path(directory, table, locations) for table in SOURCES]
+    # an empty file has no lines, so names and sizes come from the listing
+    listed = [
+        spark.read.format("binaryFile").load(path).select(
+            F.lit(table).alias("source"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")
         )
-        frames.append(
-            files.join(content, "path", "left").select(
-                F.lit(table).alias("source"),
-                F.element_at(F.split("path", "/"), -1).alias("file"),
-                "bytes",
-                F.sha2(F.coalesce("content", F.lit("")), 256).alias("sha256"),
-            )
-        )
-    manifest = frames[0]
-    for frame in frames[1:]:
-        manifest = manifest.unionByName(frame)
-    return manifest
+        for table, path in zip(SOURCES, paths)
+    ]
+    files = reduce(DataFrame.unionByName, listed)
+    content = content_hashes(spark, paths, scratch)
+    return files.join(content, "file", "left").select(
+        "source",
+        F.element_at(F.split("file", "/"), -1).alias("file"),
+        "bytes",
+        F.sha2(F.concat_ws(" ", "bytes", F.coalesce("root", F.lit(""))), 256).alias("sha256"),
+    )
+
+
+def content_hashes(spark: SparkSession, paths: list[str], scratch: str | None = None) -> DataFrame:
+    """(file, root): the hash tree over the lines of each file."""
+    digests = landed_lines(spark, paths, F.sha2(F.col("value").cast("binary"), 256).alias("digest"), "line-digests", scratch)
+    most = digests.groupBy("file").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return tree_hash(numbered(digests), "file", max(1, levels_for(most)))
 
 
 def source_manifest(raw: Mapping[str, DataFrame]) -> DataFrame:
@@ -151,7 +160,7 @@ def source_manifest(raw: Mapping[str, DataFrame]) -> DataFrame:
             F.lit(table).alias("source"),
             "rows",
             F.array(*[F.lit(name) for name in df.columns]).alias("columns"),
-            F.col("checksum").cast("string").alias("checksum"),
+            "checksum",
         )
         for table, df in raw.items()
     ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -19,13 +20,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none if it is absent."""
+    target, files = _resolve(spark, path)
+    if not files.exists(target):
+        return []
+    return sorted(found.getPath().getName() for found in files.listStatus(target))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target, files = _resolve(spark, path)
+    files.delete(target, True)
+
+
 def read_json(spark: SparkSession, path: str):
     rows = spark.read.text(path, wholetext=True).collect()
     return json.loads(rows[0]["value"])
 
 
-def write_json(spark: SparkSession, path: str, value) -> None:
-    """Write beside the target, then replace it in one rename, so readers never see half a file."""
+def _candidate(spark: SparkSession, path: str, value):
     hadoop = spark._jvm.org.apache.hadoop.fs
     target, files = _resolve(spark, path)
     candidate = hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
@@ -38,6 +51,25 @@ def write_json(spark: SparkSession, path: str, value) -> None:
         target.toUri(), spark._jsc.hadoopConfiguration()
     )
     rename = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename")
+    return context, context.makeQualified(candidate), context.makeQualified(target), rename, files
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """Write beside the target, then replace it in one rename, so readers never see half a file."""
+    context, candidate, target, rename, _ = _candidate(spark, path, value)
     options = spark.sparkContext._gateway.new_array(rename, 1)
     options[0] = rename.OVERWRITE
-    context.rename(context.makeQualified(candidate), context.makeQualified(target), options)
+    context.rename(candidate, target, options)
+
+
+def create_json(spark: SparkSession, path: str, value) -> bool:
+    """Write a whole file if there is none yet; False if another writer was first."""
+    context, candidate, target, rename, files = _candidate(spark, path, value)
+    try:
+        context.rename(candidate, target, spark.sparkContext._gateway.new_array(rename, 0))
+    except Py4JJavaError:
+        if not files.exists(target):
+            raise
+        files.delete(candidate, False)
+        return False
+    return True

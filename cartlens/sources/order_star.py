@@ -36,14 +36,16 @@ def _money(amount: str) -> Column:
     return F.col(amount).cast("decimal(18,2)")
 
 
-def _status(code: Column) -> Column:
-    return F.when(code == "F", "delivered").when(code == "O", "shipped").when(code == "P", "canceled")
+def _status(code: Column, shipped: Column, strict: bool) -> Column:
+    delivered = F.lit("delivered") if strict else F.when(shipped.isNull(), "unavailable").otherwise("delivered")
+    return F.when(code == "F", delivered).when(code == "O", "shipped").when(code == "P", "canceled")
 
 
-def star_orders(spark: SparkSession, path: str) -> DataFrame:
-    """Orders with the last ship date as delivery; optionally also orders without lines.
+def star_orders(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """All orders, with the last ship date as delivery.
 
-    The join uses the text key of the model, so the orders keep this partitioning
+    A delivered order without lines breaks a blocking check, so it becomes "unavailable"; ``strict`` keeps it as it is,
+    to show how missing amounts spread. The join uses the text key of the model, so the orders keep this partitioning
     when item, payment and review aggregates are joined to them later.
     """
     orders = read_star(spark, path, "orders").withColumn(
@@ -59,7 +61,7 @@ def star_orders(spark: SparkSession, path: str) -> DataFrame:
     return joined.select(
         "order_id",
         F.col("o_custkey").cast("string").alias("customer_id"),
-        _status(F.col("o_orderstatus")).alias("order_status"),
+        _status(F.col("o_orderstatus"), F.col("_shipped"), strict).alias("order_status"),
         F.col("o_orderdate").alias("order_purchase_timestamp"),
         F.col("o_orderdate").alias("order_approved_at"),
         F.lit(None).cast("timestamp_ntz").alias("order_delivered_carrier_date"),
@@ -70,7 +72,7 @@ def star_orders(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def star_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+def star_tables(spark: SparkSession, path: str, strict: bool = False) -> dict[str, DataFrame]:
     """The seven typed source tables."""
     lines = read_star(spark, path, "lineitem")
     items = lines.select(
@@ -133,7 +135,7 @@ def star_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         )
     )
     return {
-        "orders": star_orders(spark, path),
+        "orders": star_orders(spark, path, strict),
         "items": items,
         "payments": payments,
         "customers": customers,

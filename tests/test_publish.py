@@ -1,17 +1,22 @@
 import csv
 import json
+from pathlib import Path
 
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 
 from cartlens.config import ConfigError
-from cartlens.plans.publish import RunError, load_current, load_run, publish_extract, run
+from cartlens.plans.publish import (
+    RunError, load_current, load_run, publish_extract, publish_metrics, publish_reports, run,
+)
 from cartlens.plans.quality import QualityError
 from cartlens.sources.csv_source import (
     SourceError, file_manifest, read_source, read_sources, snapshot_fingerprint, snapshot_label,
     source_manifest,
 )
+from cartlens.sources import releases
+from cartlens.sources.files import create_json
 from cartlens.sources.results import ExportError, read_table
 from sample import CONFIG, FILES, changed, one_order, records, shop, write_csv
 
@@ -34,7 +39,11 @@ def edit(directory, table, change):
 
 
 def csv_text(path):
-    return "".join(part.read_text() for part in sorted(path.glob("part-*.csv")))
+    return "".join(part.read_text() for part in sorted(path.glob("data/part=*/part-*.csv")))
+
+
+def entries(output):
+    return {path.name: path.read_bytes() for path in (output / "log").iterdir() if path.suffix == ".json"}
 
 
 def test_sources_keep_text_and_line_breaks(spark, tmp_path):
@@ -122,20 +131,20 @@ def test_run_publishes_and_is_repeatable(spark, tmp_path, published):
             output / "runs" / done.path.rsplit("/", 1)[-1] / "csv" / name
         )
 
-    publish_extract(current, str(tmp_path / "extract"))
-    public = csv_text(tmp_path / "extract" / "fact_orders")
+    public = csv_text(Path(publish_extract(current, str(tmp_path / "extract"))) / "fact_orders")
     assert "B1" not in public and "NORTH" in public
 
 
 def test_failed_checks_keep_the_previous_pointer(spark, tmp_path, published):
     directory, output = write_csv(tmp_path / "raw", one_order()), published[1]
-    before = (output / "current.json").read_bytes()
+    before = entries(output)
     edit(directory, "items", lambda text: text.splitlines()[0] + "\n")
     with pytest.raises(QualityError, match="merchandise"):
         run(spark, str(directory), str(output), WINDOW)
-    assert (output / "current.json").read_bytes() == before
+    assert entries(output) == before
     failed = list((output / "runs").glob("*/failed.json"))
     assert len(failed) == 1
+    assert "delivered.merchandise_missing" in json.loads(failed[0].read_text())["checks"]
     with pytest.raises(RunError, match="failed"):
         load_run(spark, str(failed[0].parent))
 
@@ -151,19 +160,71 @@ def test_nothing_is_published_for_bad_input(spark, tmp_path):
     output = tmp_path / "out"
     with pytest.raises(SourceError):
         run(spark, str(tmp_path / "nowhere"), str(output), WINDOW)
-    assert not (output / "current.json").exists()
+    assert not (output / "log").exists()
     with pytest.raises(ConfigError):
         run(spark, str(tmp_path / "nowhere"), str(output), WINDOW.as_dict() | {"analysis_end": "2020-01-01"})
-    with pytest.raises(RunError, match="pointer"):
+    with pytest.raises(RunError, match="log is empty"):
         load_current(spark, str(output))
 
 
-def test_pointer_cannot_leave_the_folder(spark, tmp_path):
-    (tmp_path / "current.json").write_text(json.dumps({"run_id": "../../elsewhere"}))
-    with pytest.raises(RunError, match="pointer"):
+def test_log_cannot_lead_out_of_the_folder(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "000000000001.json").write_text(json.dumps({"run_id": "../../elsewhere"}))
+    with pytest.raises(RunError, match="invalid entry"):
         load_current(spark, str(tmp_path))
 
 
+def test_an_older_release_that_ends_later_does_not_replace_a_newer_one(spark, tmp_path):
+    older, newer = releases.begin(spark, str(tmp_path)), releases.begin(spark, str(tmp_path))
+    assert older.number < newer.number
+    releases.finish(spark, newer, {"n": 2})
+    releases.finish(spark, older, {"n": 1})
+    assert releases.current(spark, str(tmp_path)) == newer.path
+    assert len(entries(tmp_path)) == 2
+
+
+def test_numbers_are_given_once(spark, tmp_path):
+    assert create_json(spark, str(tmp_path / "tickets" / "000000000001.json"), {"run_id": "r" + "0" * 32})
+    assert not create_json(spark, str(tmp_path / "tickets" / "000000000001.json"), {"run_id": "x"})
+    assert json.loads((tmp_path / "tickets" / "000000000001.json").read_text()) == {"run_id": "r" + "0" * 32}
+    assert releases.begin(spark, str(tmp_path)).number == 2
+    assert not list((tmp_path / "tickets").glob("*.tmp"))
+
+
+def test_a_release_is_recovered_if_its_writer_dies_before_the_commit(spark, tmp_path, monkeypatch):
+    first, second, failed = (releases.begin(spark, str(tmp_path)) for _ in range(3))
+    releases.finish(spark, first, {"n": 1})
+    monkeypatch.setattr(releases, "_commit", lambda *a: (_ for _ in ()).throw(OSError("died")))
+    with pytest.raises(OSError):
+        releases.finish(spark, second, {"n": 2})
+    monkeypatch.undo()
+    releases.fail(spark, failed, {"n": 3})
+    releases.begin(spark, str(tmp_path))  # begun, nothing written
+    assert releases.current(spark, str(tmp_path)) == first.path
+    assert releases.recover(spark, str(tmp_path)) == [second.number]
+    assert releases.current(spark, str(tmp_path)) == second.path
+    assert releases.recover(spark, str(tmp_path)) == []
+
+
+def test_reports_and_measures_of_a_run_are_released(spark, tmp_path, published):
+    opened = load_current(spark, str(published[1]), WINDOW)
+    reports = Path(publish_reports(opened, str(tmp_path / "reports")))
+    status = json.loads((reports / "run.json").read_text())
+    assert set(status["exports"]) == {
+        "overview", "overview_states", "sensitivity", "cohorts", "partial_cohorts", "quality", "profile_rows", "profile_months",
+    }
+    assert status["source_run"] == opened.path.rsplit("/", 1)[-1]
+    rows = list(csv.DictReader(csv_text(reports / "overview").splitlines()))
+    assert [(row["delivered_orders"], row["merchandise_value"]) for row in rows] == [("1", "90.00")]
+    assert len(list(csv.DictReader(csv_text(reports / "sensitivity").splitlines()))) == 2
+    measures = Path(publish_metrics(opened, str(tmp_path / "metrics")))
+    rows = list(csv.DictReader(csv_text(measures / "measures_by_context").splitlines()))
+    assert [(row["context"], row["gmv"], row["delivered_orders"]) for row in sorted(rows, key=lambda r: r["context"])] == [
+        ("MONTH", "90.00", "1"), ("STATE", "90.00", "1"), ("WINDOW", "90.00", "1"),
+    ]
+    assert releases.current(spark, str(tmp_path / "metrics")) == str(measures)
+
+
 def test_unapproved_parameters_are_refused(spark, published):
     output = published[1]
     with pytest.raises(RunError, match="parameters"):

@@ -77,8 +77,8 @@ def plain(df: DataFrame, rounded: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*columns)
 
 
-def model(spark: SparkSession, path: str) -> StagedModel:
-    return StagedModel(star_tables(spark, path))
+def model(spark: SparkSession, path: str, strict: bool = False) -> StagedModel:
+    return StagedModel(star_tables(spark, path, strict))
 
 
 _ROUNDED = {
@@ -220,16 +220,16 @@ def staging_removes_copies(spark, path):
 
 
 def q01_strict_guarded_sum(spark, path):
-    """Orders without lines are kept, so their months lose the amount."""
-    return plain(monthly_commerce(model(spark, path), STAR_CONFIG))
+    """Orders without lines stay delivered, so their months lose the amount."""
+    return plain(monthly_commerce(model(spark, path, strict=True), STAR_CONFIG))
 
 
 def q02_strict_undefined_parts(spark, path):
-    return plain(monthly_change(model(spark, path), STAR_CONFIG))
+    return plain(monthly_change(model(spark, path, strict=True), STAR_CONFIG))
 
 
 def q04_strict_unknown_amounts(spark, path):
-    return plain(state_investigation(model(spark, path), STAR_CONFIG))
+    return plain(state_investigation(model(spark, path, strict=True), STAR_CONFIG))
 
 
 # --- quality -----------------------------------------------------------------------

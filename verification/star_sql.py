@@ -12,12 +12,13 @@ EVENT_CUTOFF = "TIMESTAMP '2024-01-28 00:00:00'"
 MIN_STATE, MIN_GROUP = 30, 1
 
 
-def _sources() -> str:
+def _sources(strict: bool = False) -> str:
+    done = "'delivered'" if strict else "if(shipped IS NULL, 'unavailable', 'delivered')"
     return f"""
 ship AS (SELECT l_orderkey AS ok, max(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey),
 s_orders AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS customer_id,
-    CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' WHEN 'P' THEN 'canceled' END AS order_status,
+    CASE o_orderstatus WHEN 'F' THEN {done} WHEN 'O' THEN 'shipped' WHEN 'P' THEN 'canceled' END AS order_status,
     o_orderdate AS bought_at, shipped AS arrived_at,
     o_orderdate + to_days(300 * CAST(left(o_orderpriority, 1) AS INTEGER)) AS promised_at
   FROM orders LEFT JOIN ship ON ok = o_orderkey),
@@ -93,8 +94,8 @@ del AS (SELECT * FROM win WHERE status = 'delivered'),
 sold AS (SELECT * FROM fi WHERE day >= {START} AND day <= {END} AND status = 'delivered')"""
 
 
-def _sql(ctes: str, body: str, base: str | None = None) -> str:
-    parts = [_sources(), _FACTS, _WINDOW] if base is None else [base]
+def _sql(ctes: str, body: str, base: str | None = None, strict: bool = False) -> str:
+    parts = [_sources(strict), _FACTS, _WINDOW] if base is None else [base]
     if ctes:
         parts.append(ctes)
     return "WITH " + ",".join(parts) + "\n" + body
@@ -762,12 +763,12 @@ SELECT order_id, item_count, CAST(goods_value AS DOUBLE) AS merchandise_value,
 def _questions() -> dict[str, str]:
     return {
         "q01_monthly_commerce": _sql(_Q01, _Q01_BODY),
-        "q01_strict_guarded_sum": _sql(_Q01, _Q01_BODY),
+        "q01_strict_guarded_sum": _sql(_Q01, _Q01_BODY, strict=True),
         "q02_monthly_change_decomposition": _sql(_Q02, _Q02_BODY),
-        "q02_strict_undefined_parts": _sql(_Q02, _Q02_BODY),
+        "q02_strict_undefined_parts": _sql(_Q02, _Q02_BODY, strict=True),
         "q03_category_contribution": _sql(_Q03, _Q03_BODY),
         "q04_state_investigation": _sql(_Q04, _Q04_BODY),
-        "q04_strict_unknown_amounts": _sql(_Q04, _Q04_BODY),
+        "q04_strict_unknown_amounts": _sql(_Q04, _Q04_BODY, strict=True),
         "q05_delivery_duration": _sql("", _q05()),
         "q06_month_state_delivery": _sql(_Q06, _Q06_BODY),
         "q07_delivery_review_distribution": _sql(_Q07, _Q07_BODY),
