@@ -52,9 +52,13 @@ from cartlens.plans.reports import (
     purchase_profile,
     row_profile,
     sensitivity_summary,
+    top_states,
 )
 from cartlens.plans.staging import COLUMNS, stage_all, stage_table
+from cartlens.sources.csv_source import content_hashes, read_source, source_manifest
 from cartlens.sources.order_star import STAR_CONFIG, read_star, star_tables, star_text_tables
+from cartlens.sources.results import export_csv, read_export
+from cartlens.sources.scratch import scratch_path
 
 # Cut-off and horizon of the event-table sequence.
 EVENT_CUTOFF = dt.datetime(2024, 1, 28)
@@ -710,10 +714,74 @@ def reconcile_months(spark, path):
     return plain(reconcile(left, right, ["month"], "amount", 1_000_000.0))
 
 
+def overview_state_rows(spark, path):
+    """The states to look at first, with all their figures."""
+    return plain(top_states(_results(spark, path, "q04")["q04_state_investigation"]))
+
+
+# --- files -------------------------------------------------------------------------
+
+
+def _line_text(spark, path) -> DataFrame:
+    """All lines as text, in the columns that the file queries write."""
+    lines = read_star(spark, path, "lineitem")
+    whole = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    cents = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    return lines.select(
+        *[F.col(name).cast("string").alias(name) for name in whole],
+        *[F.col(name).cast("decimal(18,2)").cast("string").alias(name) for name in cents],
+        "l_returnflag",
+        "l_linestatus",
+        F.col("l_shipdate").cast("string").alias("l_shipdate"),
+    )
+
+
 def lineitem_fingerprint(spark, path):
-    """Engine-specific checksum; no SQL counterpart."""
-    return table_fingerprint(read_star(spark, path, "lineitem")).withColumn(
-        "checksum", F.col("checksum").cast("string")
+    """Row count and order-independent checksum of a table."""
+    return table_fingerprint(_line_text(spark, path))
+
+
+def source_manifest_rows(spark, path):
+    """Rows, columns and checksum of every source table."""
+    manifest = source_manifest(star_text_tables(spark, path))
+    return plain(manifest.withColumn("columns", F.array_join("columns", ",")))
+
+
+def csv_round_trip(spark, path):
+    """Reviews with quotes, commas and line breaks in their messages, written as CSV and read back by byte ranges."""
+    lines = read_star(spark, path, "lineitem")
+    kind = F.col("l_linenumber") % 4
+    message = (
+        F.when(kind == 0, F.concat(F.lit("plain "), "l_returnflag"))
+        .when(kind == 1, F.concat(F.lit("two\nlines, "), "l_returnflag"))
+        .when(kind == 2, F.concat(F.lit('"'), "l_linestatus", F.lit('" first\r\n\n""last')))
+    )
+    rows = {
+        "review_id": F.concat_ws("-", "l_partkey", "l_linenumber"),
+        "order_id": F.col("l_orderkey").cast("string"),
+        "review_score": F.col("l_quantity").cast("int").cast("string"),
+        "review_comment_message": message,
+    }
+    written = [rows.get(name, F.lit(None).cast("string")).alias(name) for name in COLUMNS["reviews"]]
+    folder = scratch_path(spark, "csv-round-trip")
+    lines.select(*written).write.option("header", True).option("escape", '"').csv(folder)
+    back = read_source(spark, "", "reviews", {"reviews": folder})
+    return back.select(*rows)
+
+
+def export_round_trip(spark, path):
+    """All lines exported in a total order and read back: rows, amount and hash of every part, and the file's hash tree."""
+    lines = _line_text(spark, path).select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    folder = scratch_path(spark, "export-round-trip")
+    described = export_csv(lines, folder)
+    back = read_export(spark, folder, lines.schema)
+    found = back.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("price"))
+    parts = spark.read.parquet(f"{folder}/parts").select(F.col("no").alias("part"), F.col("digest").alias("part_hash"))
+    files = content_hashes(spark, [f"{folder}/data"])
+    part_of = F.regexp_extract("file", "part=([0-9]+)/", 1).cast("bigint")
+    files = files.select(part_of.alias("part"), F.col("root").alias("file_hash"))
+    return plain(
+        found.join(parts, "part").join(files, "part").withColumn("root", F.lit(described["hash"])).withColumn("all_rows", F.lit(described["rows"]))
     )
 
 
@@ -749,6 +817,7 @@ def registry() -> dict:
         dense_grid_month_nation, scoped_percentiles, threshold_rank_nations, share_of_region,
         sample_expand_counts, stratified_gap_lines, event_sequence, event_cohorts, delivery_flags,
         line_key_conflicts, order_fk_orphans, line_duplicate_rows, reconcile_months,
-        lineitem_fingerprint, delivery_days_of_orders,
+        lineitem_fingerprint, delivery_days_of_orders, source_manifest_rows, csv_round_trip,
+        export_round_trip, overview_state_rows,
     ]
     return entries | {function.__name__: function for function in functions}

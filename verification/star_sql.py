@@ -895,5 +895,109 @@ FROM s_orders GROUP BY 1, 2"""),
 def counterparts() -> dict[str, str]:
     questions = _questions()
     return {
-        **_models(), **_staging(), **questions, **_checks(), **_metrics(), **_reports(questions), **_operators(),
+        **_models(), **_staging(), **questions, **_checks(), **_metrics(), **_reports(questions), **_operators(), **_files(),
+    }
+
+
+# --- files -------------------------------------------------------------------------
+
+
+def _text_digest(columns: list[str]) -> str:
+    parts = " || ".join(f"coalesce(CAST(strlen({c}) AS VARCHAR) || ':' || {c}, '-')" for c in columns)
+    return f"md5({parts})"
+
+
+def _checksum(columns: list[str]) -> str:
+    d = _text_digest(columns)
+    halves = " || ' ' || ".join(f"CAST(coalesce(sum(CAST('0x' || substr({d}, {at}, 15) AS BIGINT)), 0) AS VARCHAR)" for at in (1, 16))
+    return halves
+
+
+_LINES = """
+lines AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_partkey AS VARCHAR) AS l_partkey, CAST(l_suppkey AS VARCHAR) AS l_suppkey,
+    CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR) AS l_quantity,
+    CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS l_extendedprice, CAST(CAST(l_discount AS DECIMAL(18,2)) AS VARCHAR) AS l_discount,
+    CAST(CAST(l_tax AS DECIMAL(18,2)) AS VARCHAR) AS l_tax, l_returnflag, l_linestatus, CAST(l_shipdate AS VARCHAR) AS l_shipdate
+  FROM lineitem)"""
+_LINE_COLUMNS = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+]
+# source: its star relation, and column by column the text it is delivered as
+_TEXTS = {
+    "orders": ("s_orders", {
+        "order_id": "order_id", "customer_id": "customer_id", "order_status": "order_status", "order_purchase_timestamp": "bought_at",
+        "order_approved_at": "bought_at", "order_delivered_carrier_date": "NULL", "order_delivered_customer_date": "arrived_at",
+        "order_estimated_delivery_date": "promised_at"}),
+    "items": ("s_items", {
+        "order_id": "order_id", "order_item_id": "order_item_id", "product_id": "product_id", "seller_id": "seller_id",
+        "shipping_limit_date": "l_shipdate", "price": "price", "freight_value": "freight"}),
+    "payments": ("s_payments", {
+        "order_id": "order_id", "payment_sequential": "seq", "payment_type": "kind", "payment_installments": "installments", "payment_value": "paid"}),
+    "customers": ("s_customers", {
+        "customer_id": "customer_id", "customer_unique_id": "person", "customer_zip_code_prefix": "zip", "customer_city": "city", "customer_state": "state"}),
+    "products": ("s_products", {
+        "product_id": "product_id", "product_category_name": "brand", "product_name_lenght": "name_len", "product_description_lenght": "type_len",
+        "product_photos_qty": "size", "product_weight_g": "CAST(size AS DECIMAL(18,2))", "product_length_cm": "NULL", "product_height_cm": "NULL",
+        "product_width_cm": "NULL"}),
+    "reviews": ("s_reviews", {
+        "review_id": "review_id", "order_id": "order_id", "review_score": "score", "review_comment_title": "NULL", "review_comment_message": "NULL",
+        "review_creation_date": "created_at", "review_answer_timestamp": "answered_at"}),
+    "category_translation": ("s_translation", {"product_category_name": "brand", "product_category_name_english": "english"}),
+}
+
+
+def _manifest_sql() -> str:
+    parts = []
+    for source, (relation, columns) in _TEXTS.items():
+        texts = ", ".join(f"CAST({rendered} AS VARCHAR) AS {name}" for name, rendered in columns.items())
+        parts.append(
+            f"SELECT '{source}' AS source, count(*) AS rows, '{','.join(columns)}' AS columns, {_checksum(list(columns))} AS checksum "
+            f"FROM (SELECT {texts} FROM {relation})"
+        )
+    return _sql("", "\nUNION ALL\n".join(parts))
+
+
+def _folded(source: str, group: str, place: str, digest: str) -> str:
+    """A level of the hash tree: SHA-256 over up to 256 digests in order."""
+    return f"""
+  SELECT {group} AS g, {place} // 256 AS no, sha256(string_agg({digest}, '' ORDER BY {place})) AS d
+  FROM {source} GROUP BY {group}, {place} // 256"""
+
+
+_EXPORT = f"""
+numbered AS (
+  SELECT *, concat_ws(',', l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_returnflag) AS line,
+    row_number() OVER (ORDER BY l_orderkey, l_partkey, l_linenumber, l_extendedprice, l_returnflag) - 1 AS no
+  FROM lines),
+e0 AS (SELECT 0 AS g, no, sha256(line) AS d FROM numbered),
+e1 AS ({_folded("e0", "g", "no", "d")}), e2 AS ({_folded("e1", "g", "no", "d")}), e3 AS ({_folded("e2", "g", "no", "d")}),
+f0 AS (
+  SELECT no // 65536 AS g, no % 65536 + 1 AS no, sha256(line) AS d FROM numbered
+  UNION ALL SELECT DISTINCT no // 65536, 0, sha256('l_orderkey,l_partkey,l_linenumber,l_extendedprice,l_returnflag') FROM numbered),
+f1 AS ({_folded("f0", "g", "no", "d")}), f2 AS ({_folded("f1", "g", "no", "d")}), f3 AS ({_folded("f2", "g", "no", "d")}),
+files AS (SELECT g, d FROM f2 WHERE (SELECT max(no) FROM f0) < 65536 UNION ALL SELECT g, d FROM f3 WHERE (SELECT max(no) FROM f0) >= 65536)"""
+
+
+def _files() -> dict[str, str]:
+    kind = "l_linenumber % 4"
+    return {
+        "overview_state_rows": _sql(_Q04, _Q04_BODY).replace("WITH ", "SELECT * FROM (WITH ", 1).rstrip() + ") WHERE investigation_rank <= 3",
+        "lineitem_fingerprint": f"WITH {_LINES} SELECT count(*) AS rows, {_checksum(_LINE_COLUMNS)} AS checksum FROM lines",
+        "source_manifest_rows": _manifest_sql(),
+        "csv_round_trip": f"""
+SELECT l_partkey || '-' || l_linenumber AS review_id, CAST(l_orderkey AS VARCHAR) AS order_id,
+  CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS review_score,
+  CASE {kind} WHEN 0 THEN 'plain ' || l_returnflag WHEN 1 THEN 'two' || chr(10) || 'lines, ' || l_returnflag
+    WHEN 2 THEN '"' || l_linestatus || '" first' || chr(13) || chr(10) || chr(10) || '""last' END AS review_comment_message
+FROM lineitem""",
+        "export_round_trip": f"""
+WITH {_LINES}, {_EXPORT}
+SELECT n.no // 65536 AS part, count(*) AS rows, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS price,
+  any_value(e2.d) AS part_hash, any_value(files.d) AS file_hash,
+  CASE WHEN (SELECT count(*) FROM e2) = 1 THEN (SELECT any_value(d) FROM e2) ELSE (SELECT any_value(d) FROM e3) END AS root,
+  (SELECT count(*) FROM numbered) AS all_rows
+FROM numbered n JOIN e2 ON e2.no = n.no // 65536 JOIN files ON files.g = n.no // 65536
+GROUP BY n.no // 65536""",
     }
