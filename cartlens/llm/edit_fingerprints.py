@@ -43,6 +43,8 @@ STEPS = 128
 TEXTS = 1024
 CHARS = 4_000_000
 ALONE = 24
+#: Characters that are hashed at a time.
+PIECE = 1 << 18
 #: Fingerprints that are held while others of their band value stream past, and those that stream past them in one task.
 REST = 512
 PART = 16_384
@@ -82,20 +84,24 @@ def places() -> list[list[tuple[int, int]]]:
 
 def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends, and for all places of all texts the class and the four bits; one place lies behind each text."""
-    codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
-    size = np.array([len(c) for c in codes], dtype=np.int64)
+    size = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(size + 1)))[:-1]
     every = np.zeros(int(size.sum()) + len(texts), dtype=np.uint32)
-    for c, at in zip(codes, starts, strict=True):
-        every[at : at + len(c)] = c + np.uint32(1)
-    one = (every * np.uint32(0x9E3779B1)) ^ (every >> np.uint32(7))
-    one ^= one >> np.uint32(15)
-    kind = (one % np.uint32(END)).astype(np.uint8)
+    for t, at in zip(texts, starts.tolist(), strict=True):
+        every[at : at + len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        every[at : at + len(t)] += np.uint32(1)
+    kind, bits = np.empty(len(every), dtype=np.uint8), np.zeros(len(every), dtype=np.uint8)
+    for low in range(0, len(every), PIECE):  # in pieces, so that only bytes are held for all of them
+        some = every[low : low + PIECE + 1]
+        one = (some * np.uint32(0x9E3779B1)) ^ (some >> np.uint32(7))
+        one ^= one >> np.uint32(15)
+        kind[low : low + PIECE] = one[:PIECE] % np.uint32(END)
+        two = one[:PIECE] * np.uint32(0x85EBCA77)
+        two[: len(one) - 1] += one[1:] * np.uint32(0xC2B2AE3D)
+        two ^= two >> np.uint32(13)
+        bits[low : low + PIECE] = (two * np.uint32(0x27D4EB2F)) >> np.uint32(28)
     kind[starts + size] = END
-    two = one * np.uint32(0x85EBCA77)
-    two[:-1] += one[1:] * np.uint32(0xC2B2AE3D)
-    two ^= two >> np.uint32(13)
-    return starts, starts + size, kind, ((two * np.uint32(0x27D4EB2F)) >> np.uint32(28)).astype(np.uint8)
+    return starts, starts + size, kind, bits
 
 
 def _alone(kind: bytes, bits: bytes, walk: int, step: int, at: int, row: np.ndarray, ahead: list[tuple[int, int]]) -> None:
@@ -248,10 +254,10 @@ def edit_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, held_slots, begins, part = [], np.zeros((0, SLOTS), dtype=np.uint8), True, 0
         for batch in batches:
-            every = list(zip(batch["_key"].tolist(), batch["_text"].tolist(), strict=True))
-            for low in range(0, len(every), TEXTS):
-                part = int(batch["_part"].iloc[0])
-                rows = every[low : low + TEXTS]
+            for low in range(0, len(batch), TEXTS):
+                some = batch.iloc[low : low + TEXTS]
+                part = int(some["_part"].iloc[0])
+                rows = list(zip(some["_key"].tolist(), some["_text"].tolist(), strict=True))
                 own = np.concatenate((held_slots, slots([t for _, t in rows])))
                 rows = held + rows
                 if len(rows) > 1:
