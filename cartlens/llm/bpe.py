@@ -4,8 +4,9 @@ Merging keeps the symbols of a piece in a doubly linked list and the mergeable p
 queue ordered by (merge rank, position). A queue entry whose symbols have changed since is stale and
 skipped. Decoding concatenates the vocabulary strings.
 
-Every task reads the vocabulary file once. A text is cut at white space, where no token can span, and
-a task remembers what it has encoded; forgetting that bounded memory costs time, never results.
+Every task reads the vocabulary file once. A text is cut at white space, where no token can span, and a task remembers what
+it has encoded: few whole chunks, and more of the pieces that chunks consist of, each as the bytes that are joined and
+digested. Forgetting that bounded memory costs time, never results.
 
 Defined results: a null text counts as empty and has no tokens; special tokens written out in a text
 are encoded as special tokens; repeated rows are encoded each; columns of the input other than the key
@@ -22,7 +23,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,10 @@ WHITE = re.compile(r"[^\S\x1c-\x1f]+")
 #: Bits that hold an id.
 SHIFT = 20
 MASK = (1 << SHIFT) - 1
-#: Chunks that a worker remembers in each of its two generations.
-REMEMBERED = 300_000
+#: Chunks that a worker remembers, pieces in each of its two generations, and characters of the longest of them: about 40 MB.
+CHUNKS = 20_000
+PIECES = 60_000
+LONGEST = 48
 
 
 def _byte_letters() -> list[str]:
@@ -67,8 +70,9 @@ class WordPairEncoder:
         self.letters = _byte_letters()
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")")
-        self.known: dict[str, tuple[str, str, int]] = {}
-        self.older: dict[str, tuple[str, str, int]] = {}
+        self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def merge(self, piece: str) -> list[int]:
         """Token ids of one piece without white space."""
@@ -98,41 +102,58 @@ class WordPairEncoder:
                     heapq.heappush(queue, found * n + first)
         return [s for s in symbols if s >= 0]
 
-    def chunk(self, chunk: str) -> tuple[str, str, int]:
-        """Ids and vocabulary strings, both joined by one space, and their number."""
-        ids: list[int] = []
-        for i, part in enumerate(self.marks.split(chunk) if "<" in chunk else [chunk]):
-            if i % 2:
-                ids.append(self.special[part])
-                continue
-            if not part.isascii():
-                part = unicodedata.normalize("NFC", part)
-            lower = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-            for piece in (lower,) if lower.isalpha() else self.pieces(lower):
-                ids += self.merge(piece)
-        return " ".join(map(str, ids)), self.decode(ids), len(ids)
+    def piece(self, piece: str) -> tuple[bytes, bytes]:
+        """Ids and vocabulary strings of a piece, each joined by one space."""
+        if (found := self.known.get(piece)) is None:
+            if (found := self.older.get(piece)) is None:
+                found = self._joined(self.merge(piece))
+            if len(piece) <= LONGEST:
+                if len(self.known) >= PIECES:
+                    self.older, self.known = self.known, {}
+                self.known[piece] = found
+        return found
+
+    def _joined(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return " ".join(map(str, ids)).encode(), self.decode(ids).encode()
+
+    def chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        """Ids and vocabulary strings of what stands between white space."""
+        if "<" in chunk:
+            parts = []
+            for i, part in enumerate(self.marks.split(chunk)):
+                parts += [self._joined([self.special[part]])] if i % 2 else self.plain(part)
+        else:
+            parts = self.plain(chunk)
+        if len(parts) == 1:
+            return parts[0]
+        return b" ".join([p[0] for p in parts]), b" ".join([p[1] for p in parts])
+
+    def plain(self, text: str) -> list[tuple[bytes, bytes]]:
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+        lower = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        if lower.isalpha():
+            return [self.piece(lower)]
+        return [self.piece(p) for p in self.pieces(lower)]
 
     def decode(self, ids: list[int]) -> str:
         """The vocabulary strings in order, one space between two, as the file names no decoder."""
         return " ".join(self.strings[i] for i in ids)
 
-    def encode(self, text: str) -> tuple[str, str, int]:
-        """(ids, decoded text, number of tokens) of a whole text."""
-        known, out = self.known, []
+    def encode(self, text: str) -> tuple[bytes, bytes]:
+        """Ids and vocabulary strings of a whole text, each joined by one space."""
+        ids, decoded = [], []
         for chunk in WHITE.split(text) if SEPARATORS.search(text) else text.split():
-            found = known.get(chunk)
-            if found is None:
-                found = self.older.get(chunk) or self.chunk(chunk)
-                if len(known) >= REMEMBERED:
-                    self.older, self.known = known, (known := {})
-                if len(chunk) <= 64:
-                    known[chunk] = found
-            if found[2]:
-                out.append(found)
-        if not out:
-            return "", "", 0
-        ids, decoded, n = zip(*out, strict=True)
-        return " ".join(ids), " ".join(decoded), sum(n)
+            if (found := self.chunks.get(chunk)) is None:
+                found = self.chunk(chunk)
+                if len(chunk) <= LONGEST:
+                    if len(self.chunks) >= CHUNKS:
+                        self.chunks.clear()
+                    self.chunks[chunk] = found
+            if found[0]:
+                ids.append(found[0])
+                decoded.append(found[1])
+        return b" ".join(ids), b" ".join(decoded)
 
 
 @lru_cache(maxsize=2)
@@ -151,20 +172,21 @@ def encode_decode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str
     if full:
         fields += [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     names = [f.name for f in fields]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()][: len(names) - 1]
 
     ship(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary)
         for batch in batches:
             rows = []
-            for k, t in zip(batch[key], batch["_text"], strict=True):
-                ids, decoded, n = encoder.encode(t)
-                row = [k, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                rows.append(row + [[int(i) for i in ids.split()], decoded] if full else row)
-            out = pd.DataFrame(rows, columns=names)
-            out[key] = batch[key].to_numpy()  # keeps the type of a key with nulls
-            yield out
+            for text in batch.column("_text"):
+                ids, decoded = encoder.encode(text.as_py())
+                n = ids.count(b" ") + 1 if ids else 0
+                row = [n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+                rows.append(row + [[int(i) for i in ids.split()], decoded.decode()] if full else row)
+            columns = [[r[i] for r in rows] for i in range(len(names) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
 
     given = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return given.mapInPandas(run, T.StructType(fields))
+    return given.mapInArrow(run, T.StructType(fields))
