@@ -7,11 +7,13 @@ at group size.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartlens.config import AnalysisConfig
-from cartlens.functions.measures import guarded_sum, guarded_sum_where, is_not_true, safe_ratio
+from cartlens.functions.measures import is_not_true, safe_ratio
 from cartlens.functions.time import (
     covers_whole_month,
     days_from_micros,
@@ -26,25 +28,27 @@ from cartlens.operators.filters import observed_until
 from cartlens.operators.ranking import label_top_groups, threshold_rank
 from cartlens.operators.samples import sample_counts, with_group_gap
 from cartlens.operators.shares import sequential_decomposition
+from cartlens.plans.cells import (
+    FULFILMENT,
+    SUM_TYPE,
+    added,
+    delivered_cells,
+    guarded_goods,
+    joint_sample,
+    low_score,
+    order_cells,
+)
 from cartlens.plans.model import CANCELED, DELIVERED, DELIVERY_MICROS
+from cartlens.sources.scratch import landed
 
 TOP_CATEGORIES = 10
 REPEAT_DAYS = 30
-SUM_TYPE = "decimal(38,2)"
 
 # Sample and group labels.
 ALL_JOINT, EXCLUDE_EARLY = "ALL_JOINT", "EXCLUDE_EARLY_ANSWERS"
 ON_TIME, LATE = "ON_TIME", "LATE"
 
 
-def low_score() -> Column:
-    return F.col("review_score") <= 2
-
-
-def joint_sample() -> Column:
-    return F.col("delivery_eligible") & F.col("review_eligible")
-
-
 def _zero() -> Column:
     return F.lit(0).cast(SUM_TYPE)
 
@@ -61,17 +65,23 @@ def _delivered(model, config, *columns) -> DataFrame:
     return model.orders(columns, config, DELIVERED)
 
 
-def monthly_commerce(model, config: AnalysisConfig) -> DataFrame:
+def monthly_commerce(model, config: AnalysisConfig, cells: DataFrame | None = None) -> DataFrame:
     """Q01: orders of any status, delivered amount, average value and canceled share per month."""
-    orders = model.orders(["purchase_month", "order_status", "merchandise_value"], config)
+    if cells is None:
+        cells = order_cells(model, config, ("purchase_month", "order_status"), fulfilment=False)
     delivered = F.col("order_status") == DELIVERED
-    amount = F.col("merchandise_value")
-    grouped = orders.groupBy("purchase_month").agg(
-        F.count(F.lit(1)).alias("all_orders"),
-        F.count_if(delivered).alias("delivered_orders"),
-        F.count_if(F.col("order_status") == CANCELED).alias("canceled_orders"),
-        F.count_if(delivered & amount.isNotNull()).alias("valid_merchandise_orders"),
-        guarded_sum_where(delivered, amount).cast(SUM_TYPE).alias("merchandise_value"),
+
+    def count(name, chosen):
+        return F.coalesce(F.sum(F.when(chosen, F.col(name))), F.lit(0))
+
+    goods = F.coalesce(F.sum(F.when(delivered, F.col("goods"))), _zero())
+    known, sold = count("known", delivered), count("orders", delivered)
+    grouped = cells.groupBy("purchase_month").agg(
+        F.sum("orders").alias("all_orders"),
+        sold.alias("delivered_orders"),
+        count("orders", F.col("order_status") == CANCELED).alias("canceled_orders"),
+        known.alias("valid_merchandise_orders"),
+        F.when(known == sold, goods).cast(SUM_TYPE).alias("merchandise_value"),
     )
     counters = ["all_orders", "delivered_orders", "canceled_orders", "valid_merchandise_orders"]
     filled = _months(model, config).join(grouped, "purchase_month", "left")
@@ -93,17 +103,12 @@ def monthly_commerce(model, config: AnalysisConfig) -> DataFrame:
     )
 
 
-def monthly_change(model, config: AnalysisConfig) -> DataFrame:
+def monthly_change(model, config: AnalysisConfig, cells: DataFrame | None = None) -> DataFrame:
     """Q02: month-on-month change split into order-count and order-value parts."""
-    grouped = (
-        _delivered(model, config, "purchase_month", "merchandise_value")
-        .groupBy("purchase_month")
-        .agg(
-            F.count(F.lit(1)).alias("delivered_orders"),
-            guarded_sum(F.col("merchandise_value"), non_negative=False)
-            .cast(SUM_TYPE)
-            .alias("merchandise_value"),
-        )
+    if cells is None:
+        cells = order_cells(model, config, ("purchase_month",), fulfilment=False, status=DELIVERED)
+    grouped = delivered_cells(cells).groupBy("purchase_month").agg(
+        F.sum("orders").alias("delivered_orders"), guarded_goods().alias("merchandise_value")
     )
     empty = F.col("delivered_orders").isNull()
     periods = (
@@ -134,26 +139,34 @@ def monthly_change(model, config: AnalysisConfig) -> DataFrame:
     )
 
 
-def category_contribution(model, config: AnalysisConfig) -> DataFrame:
+def category_contribution(model, config: AnalysisConfig, scratch: str | None = None) -> DataFrame:
     """Q03: item amounts per top category or OTHER, for the window and for each month.
 
     The ranking is fixed over the whole window. Distinct orders are counted again
     inside OTHER and do not add up across categories.
+
+    The joined items are landed as one row per order and category. With the groups known, they
+    become one row per order and group, which is the only distinct step: an order has one
+    month, so its rows are counted per month and the months add up to the window.
     """
     items = model.items(["category", "order_id", "purchase_month", "price"], config, DELIVERED)
     slim = items.groupBy("category", "order_id", "purchase_month").agg(F.sum("price").alias("amount"))
+    slim = landed(slim, "order-categories", scratch)
     labelled = (
         label_top_groups(slim, "category", "amount", TOP_CATEGORIES, "_group", "category_rank")
         .drop("category")
         .withColumnRenamed("_group", "category")
     )
     group = ["category", "category_rank"]
-    measures = [
+    sets = labelled.groupBy("order_id", "purchase_month", *group).agg(F.sum("amount").alias("amount"))
+    monthly = sets.groupBy("purchase_month", *group).agg(
         F.sum("amount").cast(SUM_TYPE).alias("merchandise_value"),
-        F.countDistinct("order_id").alias("containing_category_orders"),
-    ]
-    totals = labelled.groupBy(*group).agg(*measures)
-    monthly = labelled.groupBy("purchase_month", *group).agg(*measures)
+        F.count(F.lit(1)).alias("containing_category_orders"),
+    )
+    monthly = landed(monthly, "month-groups", scratch)
+    totals = monthly.groupBy(*group).agg(
+        F.sum("merchandise_value").cast(SUM_TYPE).alias("merchandise_value"), *added("containing_category_orders")
+    )
 
     value, change = F.col("merchandise_value"), F.col("merchandise_change")
     whole = totals.select(
@@ -192,29 +205,12 @@ def category_contribution(model, config: AnalysisConfig) -> DataFrame:
     return whole.unionByName(by_month)
 
 
-def state_investigation(model, config: AnalysisConfig) -> DataFrame:
+def state_investigation(model, config: AnalysisConfig, cells: DataFrame | None = None) -> DataFrame:
     """Q04: amount and fulfilment per customer state; small samples stay unranked."""
-    orders = _delivered(
-        model,
-        config,
-        "customer_state",
-        "merchandise_value",
-        "delivery_eligible",
-        "is_late",
-        "review_eligible",
-        "review_score",
-    )
-    states = orders.groupBy("customer_state").agg(
-        F.count(F.lit(1)).alias("delivered_orders"),
-        guarded_sum(F.col("merchandise_value"), non_negative=False)
-        .cast(SUM_TYPE)
-        .alias("merchandise_value"),
-        F.count_if("delivery_eligible").alias("delivery_eligible_orders"),
-        F.count_if("is_late").alias("late_orders"),
-        F.count_if("review_eligible").alias("review_eligible_orders"),
-        F.count_if(F.col("review_eligible") & low_score()).alias("low_score_orders"),
-        F.count_if(joint_sample()).alias("joint_eligible_orders"),
-        F.count_if(joint_sample() & low_score()).alias("joint_low_score_orders"),
+    if cells is None:
+        cells = order_cells(model, config, ("customer_state",), status=DELIVERED)
+    states = delivered_cells(cells).groupBy("customer_state").agg(
+        F.sum("orders").alias("delivered_orders"), guarded_goods().alias("merchandise_value"), *added(*FULFILMENT)
     )
     everything = Window.partitionBy()
     amount_order = Window.orderBy(
@@ -247,7 +243,7 @@ def state_investigation(model, config: AnalysisConfig) -> DataFrame:
     ).withColumn("min_state_orders", F.lit(config.min_state_orders))
 
 
-def delivery_duration(model, config: AnalysisConfig) -> DataFrame:
+def delivery_duration(model, config: AnalysisConfig, scratch: str | None = None) -> DataFrame:
     """Q05: delivery days for the window, every month and every state.
 
     An estimate is not needed to enter this sample. The quantiles are exact.
@@ -258,6 +254,7 @@ def delivery_duration(model, config: AnalysisConfig) -> DataFrame:
         {"WINDOW": [], "MONTH": ["purchase_month"], "STATE": ["customer_state"]},
         F.col(DELIVERY_MICROS),
         {"median": 0.5, "p90": 0.9},
+        scratch,
     )
     no_month = F.lit(None).cast("date").alias("purchase_month")
     no_state = F.lit(None).cast("string").alias("customer_state")
@@ -290,27 +287,13 @@ def delivery_duration(model, config: AnalysisConfig) -> DataFrame:
     )
 
 
-def month_state_delivery(model, config: AnalysisConfig) -> DataFrame:
+def month_state_delivery(model, config: AnalysisConfig, cells: DataFrame | None = None) -> DataFrame:
     """Q06: delivery and review coverage for every month and state, empty cells included."""
-    orders = _delivered(
-        model,
-        config,
-        "purchase_month",
-        "customer_state",
-        "delivery_eligible",
-        "is_late",
-        "review_eligible",
-        "review_score",
-    )
     cell = ["purchase_month", "customer_state"]
-    grouped = orders.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("delivered_orders"),
-        F.count_if("delivery_eligible").alias("delivery_eligible_orders"),
-        F.count_if("is_late").alias("late_orders"),
-        F.count_if("review_eligible").alias("review_eligible_orders"),
-        F.count_if(joint_sample()).alias("joint_eligible_orders"),
-        F.count_if(joint_sample() & low_score()).alias("joint_low_score_orders"),
-    )
+    if cells is None:
+        cells = order_cells(model, config, cell, goods=False, status=DELIVERED)
+    wanted = [name for name in FULFILMENT if name != "low_score_orders"]
+    grouped = delivered_cells(cells).groupBy(*cell).agg(F.sum("orders").alias("delivered_orders"), *added(*wanted))
     grid = dense_grid(model.states(), {"purchase_month": _month_array(config)})
     filled = fill_spine(grid.select(*cell), grouped, cell, grouped.columns[2:])
     delivered, eligible = F.col("delivered_orders"), F.col("delivery_eligible_orders")
@@ -532,3 +515,24 @@ def result_order(name: str) -> list[Column]:
         "q10": [asc("cohort_month")],
     }
     return orders.get(name[:3], [asc("purchase_month")])
+
+
+# The questions that the cells of the orders answer, and those that land tables of their own.
+ROLLED_UP = frozenset(
+    {"q01_monthly_commerce", "q02_monthly_change_decomposition", "q04_state_investigation", "q06_month_state_delivery"}
+)
+LANDING = frozenset({"q03_category_contribution", "q05_delivery_duration"})
+
+
+def with_cells(model, config: AnalysisConfig, scratch: str | None = None) -> dict:
+    """All questions by name; those that can be are rolled up from one landed table of cells."""
+    cells = landed(order_cells(model, config), "order-cells", scratch)
+
+    def prepared(name, question):
+        if name in ROLLED_UP:
+            return partial(question, model, config, cells)
+        if name in LANDING and scratch is not None:
+            return partial(question, model, config, f"{scratch}/{name}")
+        return partial(question, model, config)
+
+    return {name: prepared(name, question) for name, question in ANALYSES.items()}

@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from cartlens.config import AnalysisConfig
-from cartlens.plans.analyses import ANALYSES, CUSTOMER_LEVEL, result_order
+from cartlens.plans.analyses import ANALYSES, CUSTOMER_LEVEL, result_order, with_cells
 from cartlens.plans.extract import (
     WHITELIST,
     category_groups,
@@ -208,7 +208,7 @@ def _execute(spark, raw, path, config, locations) -> dict:
         "rows": partial(row_profile, dict(raw), staged, raw_rows),
         "months": partial(purchase_profile, staged),
     }
-    questions = {name: partial(question, model, config) for name, question in ANALYSES.items()}
+    questions = with_cells(model, config, f"{path}/landing")
     _, results = _together(
         spark,
         [

@@ -250,7 +250,9 @@ def model_checks(staged: dict[str, DataFrame], model) -> DataFrame:
     )
     items = (
         model.items(["order_id", "order_item_id", "order_status", "price"])
-        .groupBy("order_id", "order_item_id")
+        # one key of both columns: a grouping by the order's own partitioning would keep all lines
+        # of a hot order in one task, and its join could not be split
+        .groupBy(F.struct("order_id", "order_item_id").alias("_key"))
         .agg(
             F.count(F.lit(1)).alias("_n"),
             F.sum("price").alias("_goods"),

@@ -31,7 +31,7 @@ from cartlens.operators.ranking import latest_row, threshold_rank, top_n_other
 from cartlens.operators.samples import sample_expand, stratified_gap
 from cartlens.operators.shares import contribution_share, sequential_decomposition
 from cartlens.plans import metrics as M
-from cartlens.plans.analyses import ANALYSES, monthly_change, monthly_commerce, state_investigation
+from cartlens.plans.analyses import ANALYSES, monthly_change, monthly_commerce, state_investigation, with_cells
 from cartlens.plans.extract import (
     category_groups,
     delay_group,
@@ -378,7 +378,8 @@ def sensitivity_totals(spark, path):
 
 
 def overview_row(spark, path):
-    results = _results(spark, path, "q01", "q02", "q04", "q05", "q06", "q10")
+    questions = with_cells(model(spark, path), STAR_CONFIG)
+    results = {name: questions[name]() for name in questions if name[:3] in ("q01", "q02", "q04", "q05", "q06", "q10")}
     return plain(overview(results), ("median_delivery_days", "p90_delivery_days"))
 
 
