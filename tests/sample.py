@@ -1,8 +1,7 @@
-"""Small hand-calculated source rows. All values are invented for these tests."""
+"""Source rows for tests: seeded random markets and journeys, and one clean order."""
 
 from __future__ import annotations
 
-import copy
 import csv
 import datetime as dt
 import json
@@ -62,57 +61,6 @@ def review(review_id, order_id, score, created, answered=None):
     }
 
 
-def shop() -> dict[str, list[dict]]:
-    """Six orders over January, March and April; February stays empty.
-
-    A1 has two items, two payments and three reviews; A2 has no delivery dates; A3 is
-    canceled; A4 and A6 are late; A5 is answered before delivery; A6 has no state.
-    """
-    return {
-        "orders": [
-            order("A1", "k1", "delivered", "2020-01-04 09:00:00", "2020-01-09 21:00:00", "2020-01-09"),
-            order("A2", "k2", "delivered", "2020-01-06 09:00:00"),
-            order("A3", "k3", "canceled", "2020-01-08 09:00:00"),
-            order("A4", "k4", "delivered", "2020-03-02 08:00:00", "2020-03-12 08:00:00", "2020-03-11 23:59:59"),
-            order("A5", "k5", "delivered", "2020-03-05 08:00:00", "2020-03-09 08:00:00", "2020-03-10"),
-            order("A6", "k6", "delivered", "2020-04-02 08:00:00", "2020-04-09 08:00:00", "2020-04-07"),
-        ],
-        "items": [
-            item("A1", 1, "toy", "80.00", "8.00"),
-            item("A1", 2, "blank", "40.00", "4.00"),
-            item("A2", 1, "toy", "60.00", "6.00"),
-            item("A4", 1, "toy", "300.00", "30.00"),
-            item("A5", 1, "lamp", "100.00", "10.00"),
-            item("A6", 1, "blank", "500.00", "50.00"),
-        ],
-        "payments": [
-            {"order_id": "A1", "payment_sequential": "1", "payment_type": "card", "payment_value": "70.00"},
-            {"order_id": "A1", "payment_sequential": "2", "payment_type": "voucher", "payment_value": "62.00"},
-        ],
-        "customers": [
-            {"customer_id": f"k{n}", "customer_unique_id": f"person{n}", "customer_state": state}
-            for n, state in enumerate(["NORTH", "NORTH", "NORTH", "SOUTH", "SOUTH", " "], 1)
-        ],
-        "products": [
-            {"product_id": "toy", "product_category_name": "spielzeug"},
-            {"product_id": "lamp", "product_category_name": "leuchten"},
-            {"product_id": "blank", "product_category_name": ""},
-        ],
-        "reviews": [
-            review("r_old", "A1", "5", "2020-01-10", "2020-01-10 12:00:00"),
-            review("r_b", "A1", "2", "2020-01-11", "2020-01-12 12:00:00"),
-            review("r_a", "A1", "1", "2020-01-11", "2020-01-12 12:00:00"),
-            review("r_4", "A4", "2", "2020-03-12", "2020-03-13 12:00:00"),
-            review("r_5", "A5", "1", "2020-03-06", "2020-03-06 12:00:00"),
-            review("r_6", "A6", "5", "2020-04-10"),
-        ],
-        "category_translation": [
-            {"product_category_name": "spielzeug", "product_category_name_english": "toys"},
-            {"product_category_name": "leuchten", "product_category_name_english": "lamps"},
-        ],
-    }
-
-
 def market(seed: int = 4, count: int = 90) -> dict[str, list[dict]]:
     """Seeded random orders from December to April without March; gaps, odd dates and odd scores included.
 
@@ -147,6 +95,26 @@ def market(seed: int = 4, count: int = 90) -> dict[str, list[dict]]:
     return rows
 
 
+def tidy(seed: int = 12, count: int = 70) -> dict[str, list[dict]]:
+    """A market that passes every blocking check: each order has lines with plain prices, and most are paid."""
+    rng = random.Random(seed)
+    rows = market(seed, count)
+    for line in rows["items"]:
+        line["price"] = f"{rng.randint(100, 9_000) / 100:.2f}"
+    lines = {o["order_id"]: [i for i in rows["items"] if i["order_id"] == o["order_id"]] for o in rows["orders"]}
+    for key, own in lines.items():
+        if not own:
+            own.append(item(key, 1, "g1", "12.50"))
+            rows["items"] += own
+        total = sum(round(100 * (float(i["price"]) + float(i["freight_value"]))) for i in own)
+        if rng.random() < 0.8:
+            paid = (total + rng.choice([0, 0, 0, 1, -250])) / 100
+            rows["payments"].append(
+                {"order_id": key, "payment_sequential": "1", "payment_type": "card", "payment_value": f"{paid:.2f}"}
+            )
+    return rows
+
+
 def journeys(seed: int = 8) -> dict[str, list[dict]]:
     """Seeded random purchases of 30 people; gaps around the horizon, starts around the last full horizon."""
     rng = random.Random(seed)
@@ -197,16 +165,6 @@ def build(spark, rows) -> StagedModel:
     return _BUILT[key]
 
 
-def with_change(rows, table, key, **values):
-    """Copy of the rows with some fields of one row replaced."""
-    rows = copy.deepcopy(rows)
-    name = {"orders": "order_id", "reviews": "review_id", "products": "product_id"}[table]
-    for row in rows[table]:
-        if row[name] == key:
-            row.update(values)
-    return rows
-
-
 def records(df, *key):
     """Rows as dictionaries, keyed by one or several columns."""
     rows = [row.asDict() for row in df.collect()]

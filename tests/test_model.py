@@ -1,125 +1,118 @@
-from decimal import Decimal
+"""Staging and facts against plain Python over seeded random rows, rule by rule."""
 
-import pytest
-
-from sample import CONFIG, build, item, order, raw_tables, records, review, shop, staged, with_change
-
-
-def orders(spark, rows):
-    return records(build(spark, rows).orders(), "order_id")
-
-
-def test_children_do_not_multiply_amounts(spark):
-    facts = orders(spark, shop())
-    assert len(facts) == 6
-    first = facts["A1"]
-    assert (first["item_count"], first["merchandise_value"], first["freight_value"], first["payment_value"]) == (
-        2, Decimal("120.00"), Decimal("12.00"), Decimal("132.00"),
-    )
-    assert facts["A3"]["item_count"] == 0
-
-
-def test_review_ties_use_creation_then_id(spark):
-    rows = shop()
-    assert orders(spark, rows)["A1"]["review_score"] == 1
-    rows["reviews"] += [
-        review("zz", "A1", "4", "2020-01-12", "2020-01-12 12:00:00"),
-        review("unanswered", "A1", "5", "2020-02-20"),
-    ]
-    assert orders(spark, rows)["A1"]["review_score"] == 4
-
-
-def test_exact_copies_do_not_add_money(spark):
-    rows = shop()
-    rows["items"].append(dict(rows["items"][0]))
-    first = orders(spark, rows)["A1"]
-    assert (first["item_count"], first["merchandise_value"]) == (2, Decimal("120.00"))
-
-
-def test_delivery_before_purchase_leaves_logistics_only(spark):
-    rows = with_change(
-        shop(), "orders", "A1",
-        order_delivered_customer_date="2019-12-30", order_estimated_delivery_date="unknown",
-    )
-    first = orders(spark, rows)["A1"]
-    assert first["merchandise_value"] == Decimal("120.00")
-    assert (first["delivery_eligible"], first["delivery_days"], first["is_late"]) == (False, None, None)
-
-
-def test_missing_dates_and_unknown_members(spark):
-    model = build(spark, shop())
-    facts = records(model.orders(), "order_id")
-    second = facts["A2"]
-    assert second["merchandise_value"] == Decimal("60.00")
-    assert (second["delivery_eligible"], second["delivery_days"], second["is_late"]) == (False, None, None)
-    assert facts["A6"]["customer_state"] == "UNKNOWN"
-    items = records(model.items(), "order_id", "order_item_id")
-    assert items["A1", 2]["category"] == "UNKNOWN"
-    assert items["A1", 1]["category"] == "toys"
-
-
-def test_same_calendar_day_is_on_time(spark):
-    first = orders(spark, shop())["A1"]
-    assert first["is_late"] is False
-    assert first["delivery_days"] == pytest.approx(5.5)
-    assert first["review_before_delivery"] is False
-
-
-def test_broken_amounts_stay_visible(spark):
-    rows = {
-        "orders": [order("bad", "k", "delivered", "2020-01-01"), order("empty", "k", "delivered", "2020-01-01")],
-        "items": [item("bad", 1, "p", "n/a"), item("bad", 2, "p", "5")],
-    }
-    lines = records(staged(spark, rows)["items"], "order_item_id")
-    assert (lines[1]["price"], lines[1]["price_raw"]) == (None, "n/a")
-    facts = orders(spark, rows)
-    assert (facts["bad"]["item_count"], facts["bad"]["merchandise_value"]) == (2, None)
-    assert (facts["empty"]["item_count"], facts["empty"]["merchandise_value"]) == (0, None)
-
-
-def test_duration_needs_no_estimate(spark):
-    rows = with_change(shop(), "orders", "A1", order_estimated_delivery_date=None)
-    first = orders(spark, rows)["A1"]
-    assert first["delivery_days"] == pytest.approx(5.5)
-    assert (first["delivery_eligible"], first["is_late"]) == (False, None)
-
-
-@pytest.mark.parametrize("text, score, eligible", [("1.5", None, False), ("6", 6, False), ("+3", 3, True)])
-def test_only_whole_scores_in_range_count(spark, text, score, eligible):
-    rows = with_change(shop(), "reviews", "r_6", review_score=text)
-    sixth = orders(spark, rows)["A6"]
-    assert (sixth["review_score"], sixth["review_eligible"]) == (score, eligible)
+import random
 
+import pytest
 
-def test_dimensions_cover_window_and_unknown(spark):
-    model = build(spark, shop())
+from cartlens.plans.model import ORDER_COLUMNS
+from cartlens.plans.staging import stage_all
+from plain import chosen_review, guarded, item_facts, money, order_facts
+from sample import CONFIG, build, item, market, order, raw_tables, records, review, staged, tidy
+
+
+def close(found, expected):
+    assert set(found) == set(expected)
+    for key, want in expected.items():
+        got = {name: found[key][name] for name in want}
+        days = "delivery_days"
+        if want.get(days) is not None:
+            assert got.pop(days) == pytest.approx(want[days])
+            want = {name: value for name, value in want.items() if name != days}
+        assert got == want, key
+
+
+@pytest.mark.parametrize("rows", [market(), tidy()], ids=["market", "tidy"])
+def test_order_fact_equals_a_plain_calculation(spark, rows):
+    expected = order_facts(rows)
+    assert set(ORDER_COLUMNS) == set(next(iter(expected.values())))
+    assert {f["is_late"] for f in expected.values()} == {True, False, None}
+    close(records(build(spark, rows).orders(), "order_id"), expected)
+
+
+def test_item_fact_equals_a_plain_calculation(spark):
+    rows = market()
+    rows["items"] += [item("nobody", 1, "g0", "7.00"), item("n1", 9, "no product", "3.00")]
+    close(records(build(spark, rows).items(), "order_id", "order_item_id"), item_facts(rows))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_one_review_is_chosen_per_order(spark, seed):
+    """Few different times, ids and scores, so that every step of the order has ties."""
+    rng = random.Random(seed)
+    rows = {"orders": [order(f"o{n}", "k", "delivered", "2020-01-01") for n in range(40)], "reviews": []}
+    for n in range(40):
+        for _ in range(rng.randint(0, 6)):
+            created, answered = (rng.choice([None, "2020-01-05", "2020-01-06"]) for _ in range(2))
+            rows["reviews"].append(review(rng.choice("abc"), f"o{n}", str(rng.randint(1, 5)), created, answered))
+    found = records(build(spark, rows).orders(["order_id", "review_score", "review_creation_date"]), "order_id")
+    close(found, {key: {name: f[name] for name in ("review_score", "review_creation_date")} for key, f in order_facts(rows).items()})
+    assert chosen_review([]) is None
+
+
+def test_amounts_are_known_only_if_every_line_is(spark):
+    """All combinations of up to two lines, with copies of whole rows thrown in."""
+    texts = ["5", "0.10", "?", "-1", "", "1e1"]
+    pairs = [()] + [(a,) for a in texts] + [(a, b) for a in texts for b in texts]
+    rows = {"orders": [order(f"o{n}", "k", "delivered", "2020-01-01") for n in range(len(pairs))], "items": []}
+    for n, prices in enumerate(pairs):
+        rows["items"] += [item(f"o{n}", number + 1, "p", text) for number, text in enumerate(prices)]
+    rows["items"] += [dict(rows["items"][i]) for i in range(0, len(rows["items"]), 3)]
+    found = records(build(spark, rows).orders(["order_id", "item_count", "merchandise_value"]), "order_id")
+    for n, prices in enumerate(pairs):
+        want = (len(prices), guarded([money(text) for text in prices]))
+        assert (found[f"o{n}"]["item_count"], found[f"o{n}"]["merchandise_value"]) == want, prices
+    kept = {row["price_raw"]: row["price"] for row in records(staged(spark, rows)["items"])}
+    assert kept == {text: money(text) for text in texts}
+
+
+def test_delivery_flags_around_each_border(spark):
+    """Arrival and promise just before, at and after the purchase, the day and each other."""
+    moments = [None, "2020-01-05 09:59:59", "2020-01-05 10:00:00", "2020-01-05 23:59:59", "2020-01-06 00:00:00", "soon"]
+    kinds = [(s, a, p) for s in ("delivered", "shipped") for a in moments for p in moments]
+    rows = {"orders": [order(f"o{n}", "k", s, "2020-01-05 10:00:00", a, p) for n, (s, a, p) in enumerate(kinds)]}
+    read = {"orders": [dict(o) for o in rows["orders"]]}
+    for o in read["orders"]:
+        for name in ("order_delivered_customer_date", "order_estimated_delivery_date"):
+            o[name] = None if o[name] == "soon" else o[name]
+    names = ["order_id", "delivery_days", "delivery_eligible", "is_late"]
+    expected = {key: {name: f[name] for name in names} for key, f in order_facts(read).items()}
+    close(records(build(spark, rows).orders(names), "order_id"), expected)
+
+
+@pytest.mark.parametrize("text", ["1.5", "6", "+3", "-1", "03", "x", "", " 4 ", "5\n", "0"])
+def test_a_score_is_a_whole_number_from_one_to_five(spark, text):
+    rows = {"orders": [order("o", "k", "delivered", "2020-01-01")], "reviews": [review("r", "o", text, "2020-01-02")]}
+    plain = text.strip(" ")
+    score = int(plain) if plain.lstrip("+-").isdigit() and plain == plain.strip() else None
+    found = records(build(spark, rows).orders())[0]
+    assert (found["review_score"], found["review_eligible"]) == (score, score is not None and 1 <= score <= 5)
+
+
+def test_dimensions_hold_all_members_and_days(spark):
+    rows, model = market(), build(spark, market())
+    facts = order_facts(rows).values()
+    assert {r["customer_state"] for r in model.states().collect()} == {f["customer_state"] for f in facts} | {"UNKNOWN"}
+    assert {r["category"] for r in model.categories().collect()} == {f["category"] for f in item_facts(rows).values()} | {"UNKNOWN"}
+    first = min([f["purchase_date"] for f in facts] + [CONFIG.analysis_start])
+    last = max([f["purchase_date"] for f in facts] + [CONFIG.analysis_end])
     days = records(model.dates(CONFIG), "date")
-    assert len(days) == 121
-    assert {row["customer_state"] for row in model.states().collect()} == {"NORTH", "SOUTH", "UNKNOWN"}
-    assert {row["category"] for row in model.categories().collect()} == {"toys", "lamps", "UNKNOWN"}
+    assert (min(days), max(days), len(days)) == (first, last, (last - first).days + 1)
 
 
 def test_narrow_fact_equals_wide_fact(spark):
-    model = build(spark, shop())
+    model = build(spark, market())
     columns = ["order_id", "merchandise_value", "is_late"]
     narrow = records(model.orders(columns), "order_id")
     wide = records(model.orders(), "order_id")
     assert narrow == {key: {name: row[name] for name in columns} for key, row in wide.items()}
 
 
-def test_orphan_items_are_kept(spark):
-    rows = shop()
-    rows["items"].append(item("nobody", 1, "missing", "7.00"))
-    orphan = records(build(spark, rows).items(), "order_id")["nobody"]
-    assert (orphan["category"], orphan["customer_state"], orphan["order_status"]) == ("UNKNOWN", "UNKNOWN", None)
-
-
 def test_tolerant_casts(spark):
     rows = {
         "orders": [order(" o1 ", "", "delivered", t) for t in ("2020", "2020-01", "2020-02-30", " 2020-01-05 ")],
         "products": [
             {"product_id": "p", "product_photos_qty": q, "product_weight_g": w}
-            for q, w in (("1.5", "2.5"), ("2.5", "x"), ("1e2", ""), ("y", None))
+            for q, w in (("1.5", "2.5"), ("2.5", "x"), ("1e2", ""), ("y", None), ("1_000", "12d"))
         ],
     }
     tables = staged(spark, rows)
@@ -130,13 +123,12 @@ def test_tolerant_casts(spark):
         True, True, True, False,
     ]
     numbers = {r["product_photos_qty_raw"]: r for r in records(tables["products"])}
-    assert [numbers[q]["product_photos_qty"] for q in ("1.5", "2.5", "1e2", "y")] == [2, 3, 100, None]
-    assert [numbers[q]["product_weight_g"] for q in ("1.5", "2.5", "1e2", "y")] == [2.5, None, None, None]
+    assert [numbers[q]["product_photos_qty"] for q in ("1.5", "2.5", "1e2", "y", "1_000")] == [2, 3, 100, None, 1000]
+    assert [numbers[q]["product_weight_g"] for q in ("1.5", "2.5", "1e2", "y", "1_000")] == [2.5, None, None, None, None]
 
 
 def test_extra_source_columns_are_ignored_by_staging(spark):
-    raw = raw_tables(spark, shop())
+    rows = market()
+    raw = raw_tables(spark, rows)
     raw["items"] = raw["items"].selectExpr("*", "uuid() AS load_id")
-    from cartlens.plans.staging import stage_all
-
-    assert stage_all(raw)["items"].count() == 6
+    assert stage_all(raw)["items"].count() == len(rows["items"])

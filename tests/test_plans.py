@@ -10,7 +10,7 @@ from cartlens.operators.enrich import Lookup, star_enrich
 from cartlens.plans.analyses import ANALYSES
 from cartlens.plans.model import StoredModel
 from cartlens.plans.publish import build_model
-from sample import CONFIG, build, shop
+from sample import CONFIG, build, tidy
 
 DIRECTORY = "/root/testdata/sf0.001"
 QUERIES = entry_module.queries()
@@ -45,7 +45,7 @@ def test_only_needed_children_are_joined(spark):
 
 
 def test_stored_facts_are_pruned_by_month_and_column(spark, tmp_path):
-    model = build_model(build(spark, shop()).staged, CONFIG, str(tmp_path / "model"))
+    model = build_model(build(spark, tidy()).staged, CONFIG, str(tmp_path / "model"))
     assert isinstance(model, StoredModel)
     text = plan(ANALYSES["q01_monthly_commerce"](model, CONFIG))
     assert re.search(r"PartitionFilters: \[[^]]*purchase_month", text)
@@ -55,7 +55,7 @@ def test_stored_facts_are_pruned_by_month_and_column(spark, tmp_path):
 
 
 def test_stored_model_gives_the_same_answers(spark, tmp_path):
-    lazy = build(spark, shop())
+    lazy = build(spark, tidy())
     model = build_model(lazy.staged, CONFIG, str(tmp_path / "model"))
     for name, question in ANALYSES.items():
         left, right = question(lazy, CONFIG), question(model, CONFIG)
