@@ -59,6 +59,7 @@ from cartlens.sources.csv_source import content_hashes, read_source, source_mani
 from cartlens.sources.order_star import STAR_CONFIG, read_star, star_tables, star_text_tables
 from cartlens.sources.results import export_csv, read_export
 from cartlens.sources.scratch import scratch_path
+from verification.dirt import DIRT
 
 # Cut-off and horizon of the event-table sequence.
 EVENT_CUTOFF = dt.datetime(2024, 1, 28)
@@ -244,6 +245,31 @@ def quality_staging(spark, path):
     return plain(staging_checks(raw, stage_all(raw)))
 
 
+def _dirty(raw: DataFrame, table: str) -> DataFrame:
+    key, changes, copies = DIRT[table]
+    numbered = raw.withColumn("_n", F.regexp_extract(key, "([0-9]+)$", 1).try_cast("bigint"))
+
+    def text(name):
+        column = F.col(name)
+        for modulus, changed, value in changes:
+            if changed == name:
+                column = F.when(F.col("_n") % modulus == 0, F.lit(value).cast("string")).otherwise(column)
+        return column.alias(name)
+
+    columns = [text(name) for name in COLUMNS[table]]
+    found = numbered.select(*columns)
+    for modulus, changed, value in copies:
+        copy = numbered.filter(F.col("_n") % modulus == 0).select(*columns)
+        found = found.unionByName(copy if changed is None else copy.withColumn(changed, F.lit(value)))
+    return found
+
+
+def quality_staging_dirty(spark, path):
+    """The checks on source texts with broken, missing, repeated and orphaned rows of every kind."""
+    raw = {table: _dirty(df, table) for table, df in star_text_tables(spark, path).items()}
+    return plain(staging_checks(raw, stage_all(raw)))
+
+
 def quality_models(spark, path):
     shared = model(spark, path)
     return plain(model_checks(shared.staged, shared))
@@ -808,7 +834,7 @@ def registry() -> dict:
         fact_orders, fact_order_items, dim_date, dim_customer_state, dim_category, latest_review,
         order_item_totals, order_payment_totals, staging_casts, staging_removes_copies,
         q01_strict_guarded_sum, q02_strict_undefined_parts, q04_strict_unknown_amounts,
-        quality_staging, quality_models, quality_analyses, quality_summary, quality_report_rows,
+        quality_staging, quality_staging_dirty, quality_models, quality_analyses, quality_summary, quality_report_rows,
         metrics_all, metrics_by_month, metrics_by_state, metrics_state_scatter,
         metrics_by_delay_group, metrics_days_by_state, metrics_contexts, metrics_filtered_orders,
         metrics_filtered_items, category_group_amount, sensitivity_totals, overview_row,

@@ -6,6 +6,8 @@ timestamps as ISO text, counters as BIGINT, matching the plain form of the queri
 
 from __future__ import annotations
 
+from verification.dirt import DIRT
+
 START, END = "DATE '1996-02-01'", "DATE '1997-07-31'"
 CUTOFF = "TIMESTAMP '1997-07-31 23:59:59'"
 EVENT_CUTOFF = "TIMESTAMP '2024-01-28 00:00:00'"
@@ -959,6 +961,75 @@ def _manifest_sql() -> str:
     return _sql("", "\nUNION ALL\n".join(parts))
 
 
+def _dirty_ctes() -> str:
+    """r_: the source texts with a row number; d_: with dirt and copies; u_: distinct rows."""
+    out = []
+    for source, (relation, columns) in _TEXTS.items():
+        key, changes, copies = DIRT[source]
+        texts = ", ".join(f"CAST({rendered} AS VARCHAR) AS {name}" for name, rendered in columns.items())
+        out.append(f"r_{source} AS (SELECT *, TRY_CAST(regexp_extract({key}, '([0-9]+)$', 1) AS BIGINT) AS n_ FROM (SELECT {texts} FROM {relation}))")
+
+        def dirtied(name, changes=changes):
+            text = name
+            for modulus, changed, value in changes:
+                if changed == name:
+                    text = f"CASE WHEN n_ % {modulus} = 0 THEN {'NULL' if value is None else repr(value)} ELSE {text} END"
+            return text
+
+        rows = ", ".join(f"{dirtied(name)} AS {name}" for name in columns)
+        parts = [f"SELECT {rows} FROM r_{source}"]
+        for modulus, changed, value in copies:
+            copied = ", ".join(f"{repr(value) if name == changed else dirtied(name)} AS {name}" for name in columns)
+            parts.append(f"SELECT {copied} FROM r_{source} WHERE n_ % {modulus} = 0")
+        out.append(f"d_{source} AS ({' UNION ALL '.join(parts)}), u_{source} AS (SELECT DISTINCT * FROM d_{source})")
+    return ",\n".join(out)
+
+
+def _dirty_checks() -> list[str]:
+    text = lambda c: f"nullif(trim({c}), '')"
+    moment = lambda c: f"TRY_CAST({text(c)} AS TIMESTAMP)"
+    whole = lambda c: f"CASE WHEN regexp_full_match(trim({c}), '[+-]?[0-9]+') THEN TRY_CAST(trim({c}) AS INTEGER) END"
+    money = lambda c: f"TRY_CAST({text(c)} AS DECIMAL(18,2))"
+    count = lambda t, rule: f"SELECT count(*) FROM u_{t} WHERE {rule}"
+    keys = {
+        "orders": [text("order_id")], "items": [text("order_id"), whole("order_item_id")], "payments": [text("order_id"), whole("payment_sequential")],
+        "customers": [text("customer_id")], "products": [text("product_id")], "reviews": [text("review_id"), text("order_id")],
+        "category_translation": [text("product_category_name")],
+    }
+    out = []
+    for t, key in keys.items():
+        out += [
+            _check(f"{t}.key_conflicts", f"SELECT count(*) FROM (SELECT 1 FROM u_{t} GROUP BY {', '.join(key)} HAVING count(*) > 1)"),
+            _check(f"{t}.missing_key", count(t, " OR ".join(f"({k}) IS NULL" for k in key))),
+            _check(f"{t}.exact_duplicate_rows", f"(SELECT count(*) FROM d_{t}) - (SELECT count(*) FROM u_{t})", "warning", "Exact copies are removed on load; conflicting keys are kept."),
+        ]
+    note = "Amounts must be zero or more, with two decimals at most."
+    for t, c in (("items", "price"), ("items", "freight_value"), ("payments", "payment_value")):
+        rule = f"{money(c)} IS NULL OR {money(c)} < 0 OR NOT regexp_full_match(trim({c}), '[+]?[0-9]+([.][0-9]{{1,2}})?')"
+        out.append(_check(f"{t}.{c}.invalid_amount", count(t, rule), "error", note))
+    for t, c in (("items", "order_item_id"), ("payments", "payment_sequential")):
+        out.append(_check(f"{t}.{c}.invalid_key", count(t, f"({whole(c)}) IS NULL OR ({whole(c)}) <= 0 OR NOT regexp_full_match(trim({c}), '[0-9]+')")))
+    allowed = "('created', 'approved', 'invoiced', 'processing', 'shipped', 'delivered', 'unavailable', 'canceled')"
+    score, kind = whole("review_score"), text("product_category_name")
+    out += [
+        _check("orders.invalid_purchase_timestamp", count("orders", f"{moment('order_purchase_timestamp')} IS NULL")),
+        _check("orders.invalid_status", count("orders", f"{text('order_status')} IS NULL OR {text('order_status')} NOT IN {allowed}")),
+        _check("customers.missing_unique_identifier", count("customers", f"{text('customer_unique_id')} IS NULL")),
+        _check("reviews.invalid_score", count("reviews", f"({score}) IS NULL OR ({score}) NOT BETWEEN 1 AND 5"), "warning", "Left out of every rating ratio."),
+        _check("reviews.ambiguous_selection", f"SELECT count(*) FROM (SELECT 1 FROM u_reviews GROUP BY {text('order_id')}, {moment('review_answer_timestamp')}, {moment('review_creation_date')}, {text('review_id')} HAVING max({score}) > min({score}))"),
+        _check("products.missing_category", count("products", f"{kind} IS NULL"), "warning", "Counted under UNKNOWN."),
+        _check("products.untranslated_category", count("products", f"{kind} IS NOT NULL AND {kind} NOT IN (SELECT {kind} FROM u_category_translation WHERE {kind} IS NOT NULL)"), "warning", "The original category name is kept."),
+    ]
+    for t, c, parent in (("orders", "customer_id", "customers"), ("items", "order_id", "orders"), ("items", "product_id", "products"), ("payments", "order_id", "orders"), ("reviews", "order_id", "orders")):
+        out.append(_check(f"{t}.{c}.unmatched", count(t, f"{text(c)} IS NULL OR {text(c)} NOT IN (SELECT {text(c)} FROM u_{parent} WHERE {text(c)} IS NOT NULL)")))
+    for t, c in (
+        ("orders", "order_approved_at"), ("orders", "order_delivered_carrier_date"), ("orders", "order_delivered_customer_date"),
+        ("orders", "order_estimated_delivery_date"), ("reviews", "review_creation_date"), ("reviews", "review_answer_timestamp"), ("items", "shipping_limit_date"),
+    ):
+        out.append(_check(f"{t}.{c}.invalid_timestamp", count(t, f"{moment(c)} IS NULL AND {text(c)} IS NOT NULL"), "warning"))
+    return out
+
+
 def _folded(source: str, group: str, place: str, digest: str) -> str:
     """A level of the hash tree: SHA-256 over up to 256 digests in order."""
     return f"""
@@ -984,6 +1055,7 @@ def _files() -> dict[str, str]:
     kind = "l_linenumber % 4"
     return {
         "overview_state_rows": _sql(_Q04, _Q04_BODY).replace("WITH ", "SELECT * FROM (WITH ", 1).rstrip() + ") WHERE investigation_rank <= 3",
+        "quality_staging_dirty": f"WITH {_sources()},\n{_dirty_ctes()}\n{_finish(_dirty_checks())}",
         "lineitem_fingerprint": f"WITH {_LINES} SELECT count(*) AS rows, {_checksum(_LINE_COLUMNS)} AS checksum FROM lines",
         "source_manifest_rows": _manifest_sql(),
         "csv_round_trip": f"""
