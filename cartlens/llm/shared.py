@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartlens.sources.files import remove
+
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application, the way any Spark job sends modules."""
@@ -51,7 +54,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it again: lineage ends there."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._cartlens_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._cartlens_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It does so once their objects are collected, first here, then on the driver's JVM, which else may not collect for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -73,7 +93,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        spent, now = now, written(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discard(spent)
         state = now.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         ).first()

@@ -127,9 +127,26 @@ def test_warc_round_trip_rejects_marks_inside_payloads(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def shingles(text):
+    found, starts, counts = passages.shingled([text])
+    return found[: max(int(counts[0]) - passages.WORDS + 1, 0)]
+
+
+def test_shingles_do_not_depend_on_the_texts_read_together():
+    long = "x" * 41 + " " + "y" * 40 + " " + "é" * 30 + " z w v"
+    some = ["", "one two", words(1, 90), "A\u2003b  C\td e f", " ", long, words(2, 50), ""]
+    found, starts, counts = passages.shingled(some)
+    for i, text in enumerate(some):
+        own = shingles(text)
+        assert counts[i] == len(text.split()) and (found[starts[i] : starts[i] + len(own)] == own).all()
+    assert (shingles("a b c d e f") == shingles("A B c\nd e F")).all()
+    assert len({int(x) for t in (words(1, 90), long, "x" * 42 + long[41:], "x" * 40 + long[41:]) for x in shingles(t)[:1]}) == 4
+
+
 def test_compact_windows_equal_brute_force():
     rng = np.random.default_rng(5)
-    for n, top in ((45, 9), (46, 9), (200, 20), (400, 10**6)):
+    row, made, place = [], set(), 0
+    for text, (n, top) in enumerate(((45, 9), (46, 9), (0, 1), (200, 20), (3, 2), (400, 10**6))):
         values = rng.integers(0, top, n).astype(np.uint64) << np.uint64(20)
         rank = np.argsort(np.argsort(values, kind="stable"))
         wide = set()
@@ -138,7 +155,15 @@ def test_compact_windows_equal_brute_force():
             right = min((i for i in range(c + 1, n) if rank[i] < rank[c]), default=n) - 1
             if right - left + 1 >= 46:
                 wide.add((left, c, right))
-        assert set(zip(*(x.tolist() for x in passages.compact_windows(values, 46)), strict=True)) == wide
+        alone = passages.compact_windows(values, np.zeros(1, dtype=np.int64), np.array([n]), 46)
+        assert set(zip(*(x.tolist() for x in alone[1:]), strict=True)) == wide
+        row.append((values, place, n))
+        made |= {(text, *(x + place for x in w)) for w in wide}
+        place += n + 4  # places between two texts, whose values count for neither
+    gap = np.zeros(4, dtype=np.uint64)
+    every = np.concatenate([x for values, _, _ in row for x in (values, gap)])
+    found = passages.compact_windows(every, np.array([r[1] for r in row]), np.array([r[2] for r in row]), 46)
+    assert set(zip(*(x.tolist() for x in found), strict=True)) == made
 
 
 def test_passages_that_repeat_across_documents(spark, docs, none):
@@ -158,8 +183,8 @@ def test_meetings_connect_all_documents_of_a_value_within_and_across_slices(spar
     hashes = {}
     for key, text in rows:
         for k in range(passages.HASHES):
-            values = passages._mixed(passages.shingles(text) + passages.SALTS[k])
-            for c in passages.compact_windows(values, 46)[1].tolist():
+            values = passages._mixed(shingles(text) + passages.SALTS[k])
+            for c in passages.compact_windows(values, np.zeros(1, dtype=np.int64), np.array([len(values)]), 46)[2].tolist():
                 hashes.setdefault((k, int(values[c])), set()).add(key)
 
     def classes(links):
@@ -171,7 +196,7 @@ def test_meetings_connect_all_documents_of_a_value_within_and_across_slices(spar
 
     df = spark.createDataFrame(rows, "_key long, _text string")
     for slices in (1, 6):
-        made = passages.meetings(passages.windows(df.repartition(slices))).collect()
+        made = passages.meetings(passages.windows(df.repartition(slices), range(passages.HASHES))).collect()
         assert all(r.a < r.b for r in made)
         for k in range(passages.HASHES):
             every = [(min(d), x) for (kind, _), d in hashes.items() if kind == k for x in d if x > min(d)]
@@ -186,13 +211,14 @@ def test_exact_passages_meet_although_a_frequent_phrase_is_in_them(spark):
     for j in range(12):  # pairs that alone share 50 words, of which 30 are the phrase
         passage = words(3000 + j, 10) + " " + phrase + " " + words(4000 + j, 10)
         for side in range(2):
-            rows.append((100 + 10 * j + 5 * side, words(5000 + 2 * j + side, 60) + " " + passage + " " + words(6000 + 2 * j + side, 60)))
+            rows.append((100 + 10 * j + 5 * side, words(5000 + 2 * j + side, 60) + " " + passage + " " + words(6000 + 2 * j + side, 60 + 7 * j * side)))
         partners.append((100 + 10 * j, 105 + 10 * j))
     found = passages.near_passages(spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "doc_id long, text string")).collect()
     assert {(r.a, r.b) for r in found} == set(partners)
     assert all((r.start_a, r.end_a, r.similarity) == (60, 110, 1.0) for r in found)
     values = np.random.default_rng(1).integers(0, 3, 400).astype(np.uint64)
     hashed = passages.stretch_hashes(values, 5)
+    assert (passages.stretch_hashes(values[7:90], 5) == hashed[7:86]).all()  # alike in any text, wherever it stands
     stretches = [tuple(values[i : i + 5].tolist()) for i in range(396)]
     assert len(set(zip(stretches, hashed.tolist(), strict=True))) == len(set(stretches)) == len(set(hashed.tolist()))
 

@@ -282,6 +282,33 @@ def _analysis_checks(spark, path):
     return analysis_checks(results, shared, STAR_CONFIG)
 
 
+def quality_analyses_broken(spark, path):
+    """The reconciliation of changed results: amounts, flags, copies, residuals and cells; then one result twice and one absent."""
+    shared = model(spark, path)
+    first, second, third = (name for name in ANALYSES if name[:3] in ("q01", "q02", "q03"))
+    results = {name: ANALYSES[name](shared, STAR_CONFIG) for name in (first, second, third)}
+    number = F.month("purchase_month")
+    shifted = results[first].withColumns(
+        {
+            "merchandise_value": F.col("merchandise_value") + F.when(number % 2 == 0, 1).otherwise(0),
+            "complete_calendar_month": F.when(number % 3 == 0, ~F.col("complete_calendar_month")).otherwise(F.col("complete_calendar_month")),
+        }
+    )
+    bent = F.col("order_count_contribution") + F.when(number % 5 == 0, 0.02).otherwise(0)
+    lost = (F.col("period") == "MONTH") & (number % 4 == 0) & (F.col("category") == "OTHER")
+    changed = {
+        first: shifted.unionByName(shifted.filter(number == 5)),
+        second: results[second].withColumn("order_count_contribution", bent),
+        third: results[third].filter(~lost),
+    }
+    doubled = {first: results[first], second: results[second], f"{second}_again": results[second]}
+    scenarios = [
+        analysis_checks(found, shared, STAR_CONFIG).withColumn("scenario", F.lit(label))
+        for label, found in (("changed", changed), ("doubled", doubled))
+    ]
+    return plain(scenarios[0].unionByName(scenarios[1]))
+
+
 def quality_analyses(spark, path):
     return plain(_analysis_checks(spark, path))
 
@@ -834,7 +861,7 @@ def registry() -> dict:
         fact_orders, fact_order_items, dim_date, dim_customer_state, dim_category, latest_review,
         order_item_totals, order_payment_totals, staging_casts, staging_removes_copies,
         q01_strict_guarded_sum, q02_strict_undefined_parts, q04_strict_unknown_amounts,
-        quality_staging, quality_staging_dirty, quality_models, quality_analyses, quality_summary, quality_report_rows,
+        quality_staging, quality_staging_dirty, quality_models, quality_analyses, quality_analyses_broken, quality_summary, quality_report_rows,
         metrics_all, metrics_by_month, metrics_by_state, metrics_state_scatter,
         metrics_by_delay_group, metrics_days_by_state, metrics_contexts, metrics_filtered_orders,
         metrics_filtered_items, category_group_amount, sensitivity_totals, overview_row,

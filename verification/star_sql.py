@@ -447,6 +447,36 @@ def _analysis_check_list() -> list[str]:
     ]
 
 
+def _broken_check_list(scenario: str) -> str:
+    """Values of the analysis checks for results that were changed, or of which one is there twice and one is absent."""
+    even, third, fifth = ("CAST(month(month) AS INTEGER) % 2 = 0", "CAST(month(month) AS INTEGER) % 3 = 0", "CAST(month(month) AS INTEGER) % 5 = 0")
+    rows = "(SELECT month, CAST(amount AS DECIMAL(38,2)) AS amount FROM spread UNION ALL SELECT month, CAST(amount AS DECIMAL(38,2)) FROM spread WHERE month(month) = 5)"
+    per_month = f"(SELECT month, sum(amount + if({even}, 1, 0)) AS amount FROM {rows} GROUP BY month)"
+    lost = "month(g.month) % 4 = 0 AND g.grp = 'OTHER'"
+    gap = "CAST(v - v0 AS DOUBLE) - (CAST(n - n0 AS DOUBLE) * a0 + if({}, 0.02, 0)) - CAST(n AS DOUBLE) * (a - a0)".format(fifth)
+    changed = {
+        "q01.result_count": "0", "q02.result_count": "0", "q03.result_count": "0",
+        "q01.window_merchandise": f"SELECT abs(sum(r.amount) - (SELECT sum(amount) FROM truth)) FROM {per_month} r",
+        "q03.window_merchandise": "0",
+        "q01.month_merchandise": f"SELECT count(*) FROM truth t JOIN {per_month} r ON r.month = t.month WHERE r.amount IS DISTINCT FROM t.amount",
+        "q01.month_unique": "SELECT count(*) FROM spread WHERE month(month) = 5",
+        "q03.month_merchandise": f"SELECT count(*) FROM truth t LEFT JOIN (SELECT month, sum(amount) AS amount FROM grid g WHERE NOT ({lost}) GROUP BY month) g ON g.month = t.month WHERE coalesce(g.amount, 0) <> t.amount",
+        "q01.month_boundary_flags": f"SELECT count(*) FROM {rows} WHERE {third}",
+        "q02.decomposition_residual": f"SELECT count(*) FROM pair WHERE a IS NOT NULL AND a0 IS NOT NULL AND abs(round({gap}, 6)) > 0.01",
+    }
+    doubled = dict.fromkeys(changed, "0") | {
+        "q02.result_count": "1", "q03.result_count": "1", "q03.window_merchandise": "SELECT sum(amount) FROM truth",
+        "q03.month_merchandise": "SELECT count(*) FROM truth WHERE amount <> 0",
+    }
+    notes = {
+        "q01.month_boundary_flags": "Partial months are allowed when they are labelled as partial.",
+        "q02.decomposition_residual": "Recomputed from the parts; months without an average are skipped.",
+    }
+    values = changed if scenario == "changed" else doubled
+    listed = [_check(f"analysis.{name}", value, "error", notes.get(name, "")) for name, value in values.items()]
+    return f"SELECT *, '{scenario}' AS scenario FROM ({_finish(listed)})"
+
+
 _TRUTH = """
 truth AS (
   SELECT m.month, coalesce(sum(goods_value), 0) AS amount
@@ -790,6 +820,7 @@ def _checks() -> dict[str, str]:
         "quality_staging": _sql("", _finish(_staging_check_list())),
         "quality_models": models,
         "quality_analyses": _sql(analyses, _finish(_analysis_check_list())),
+        "quality_analyses_broken": _sql(analyses, f"{_broken_check_list('changed')} UNION ALL {_broken_check_list('doubled')}"),
         "quality_summary": head + f"""
 SELECT CASE WHEN sum(if(severity = 'error' AND NOT passed, 1, 0)) > 0 THEN 'failed' ELSE 'passed' END AS status,
   {_n("severity = 'error' AND NOT passed")} AS blocking_failures, {_n("severity = 'warning' AND NOT passed")} AS warnings,
