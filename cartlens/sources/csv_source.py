@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from cartlens.operators.checks import table_fingerprint
 from cartlens.plans.staging import COLUMNS
 from cartlens.sources.file_lines import landed_lines, levels_for, numbered, tree_hash
+from cartlens.sources.files import matching
 from cartlens.sources.quoted_csv import read_quoted
 
 
@@ -90,6 +91,8 @@ def read_source(
     The lines of a multi-line source are landed below ``scratch`` (default: the shared folder of the session).
     """
     path = source_path(directory, table, locations)
+    if not (locations and table in locations) and len(found := matching(spark, path)) > 1:
+        raise SourceError(f"several snapshots of {table}: {', '.join(found)}")
     header = read_header(spark, path)
     check_header(path, header, list(COLUMNS[table]))
     if SOURCES[table].multiline if multiline is None else multiline:

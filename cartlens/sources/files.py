@@ -28,6 +28,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(found.getPath().getName() for found in files.listStatus(target))
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Names that a path with wildcards stands for, in order."""
+    target, files = _resolve(spark, pattern)
+    return sorted(found.getPath().getName() for found in files.globStatus(target) or [])
+
+
 def remove(spark: SparkSession, path: str) -> None:
     target, files = _resolve(spark, path)
     files.delete(target, True)

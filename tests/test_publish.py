@@ -68,6 +68,13 @@ def test_missing_file_column_and_repeated_header_are_named(spark, tmp_path):
         read_source(spark, str(directory), "payments")
 
 
+def test_two_snapshots_in_one_folder_are_refused(spark, tmp_path):
+    directory = write_csv(tmp_path / "raw", one_order())
+    (directory / "older_orders_dataset.csv").write_bytes((directory / FILES["orders"]).read_bytes())
+    with pytest.raises(SourceError, match="several snapshots of orders: older_orders_dataset.csv, shop_orders_dataset.csv"):
+        read_source(spark, str(directory), "orders")
+
+
 def test_extra_and_reordered_columns_are_accepted(spark, tmp_path):
     directory = write_csv(tmp_path / "raw", one_order())
     (directory / FILES["category_translation"]).write_text(
