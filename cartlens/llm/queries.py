@@ -140,6 +140,56 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM c
 """
 
+def _tree_sql(name: str, levels: int) -> str:
+    """Levels name0 (g, idx, h, c nodes in the group) to name{levels}, and the siblings of each node below."""
+    out = []
+    for k in range(levels):
+        out.append(f"""
+{name}{k + 1} AS MATERIALIZED (
+  SELECT g, idx // 8 AS idx, CASE WHEN max(c) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY idx)) END AS h, (max(c) + 7) // 8 AS c
+  FROM {name}{k} GROUP BY g, idx // 8),
+{name}s{k} AS MATERIALIZED (
+  SELECT a.g, a.idx, any_value(a.c) AS c, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS before,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS after
+  FROM {name}{k} a JOIN {name}{k} b ON a.g = b.g AND a.idx // 8 = b.idx // 8 GROUP BY a.g, a.idx)""")
+    return ",".join(out)
+
+
+def _op12_sql(levels: int = 7, above: int = 4) -> str:
+    """The manifest by whole levels, for up to 8^7 documents of a language and 8^4 languages."""
+    field = lambda c: f"coalesce(CAST(strlen({c}) AS VARCHAR) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text))) + ")"
+    # bit by bit over the digits: a byte enters with the first of its eight steps
+    bytes_ = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), {step}), 4294967295)"
+    lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    steps = [("l", k, f"a.g AND s.idx = a.idx // {8**k}") for k in range(levels)] + [("t", k, f"'' AND s.idx = r.idx // {8**k}") for k in range(above)]
+    joins = "\n".join(f"JOIN {n}s{k} AS {n}x{k} ON {n}x{k}.g = {on.replace('s.idx', f'{n}x{k}.idx')}" for n, k, on in steps)
+    folds, at = [], "start"
+    for n, k, _ in steps:
+        folds.append(f"CASE WHEN {n}x{k}.c = 1 THEN {at} ELSE sha256({n}x{k}.before || {at} || {n}x{k}.after) END AS f_{n}{k}")
+        at = f"f_{n}{k}"
+    proof = " || ".join(f"{n}x{k}.before || {n}x{k}.after" for n, k, _ in steps)
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce('1' || lang, '0') AS g, {leaf("text")} AS h,
+         CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} END AS other
+  FROM documents
+), l0 AS MATERIALIZED (
+  SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h, other NULLS FIRST) - 1 AS idx, h, count(*) OVER (PARTITION BY g) AS c, doc_id, other FROM d
+),{_tree_sql("l", levels)},
+t0 AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS idx, h, count(*) OVER () AS c, g AS name FROM l{levels}),{_tree_sql("t", above)},
+p AS (
+  SELECT a.doc_id, a.h AS leaf, r.h AS subroot, (SELECT h FROM t{above}) AS root, coalesce(a.other, a.h) AS start, sha256({proof}) AS proof_sha256,
+         {", ".join(folds)}
+  FROM l0 a JOIN t0 r ON r.name = a.g
+  {joins}
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, {at} AS folded_root, {at} = root AS verified FROM p
+"""
+
+
 OP13 = """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
@@ -162,4 +212,4 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 
 
 def op_sql() -> dict[str, str]:
-    return {"op3_warc": OP3, "op8_cap_filters": OP8, "op10_quality": OP10, "op13_hard_negatives": OP13}
+    return {"op3_warc": OP3, "op8_cap_filters": OP8, "op10_quality": OP10, "op12_manifest": _op12_sql(), "op13_hard_negatives": OP13}

@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -285,3 +286,17 @@ def test_the_curve_visits_every_cell_once_and_steps_to_neighbours():
         order = np.array(sorted(range(len(cells)), key=hn.hilbert(cells, bits).__getitem__))
         assert len(set(hn.hilbert(cells, bits))) == len(cells)
         assert (np.abs(np.diff(cells[order], axis=0)).sum(axis=1) == 1).all()
+
+
+@pytest.mark.parametrize("name, source", [("op12_manifest", "documents"), ("op13_hard_negatives", "embeddings")])
+def test_sql_gives_the_same_rows(spark, tmp_path, texts, name, source):
+    if source == "documents":
+        table(spark, texts + [(None, "Null key", "de")]).write.parquet(f"{tmp_path}/documents.parquet")
+    else:
+        spark.createDataFrame(vectors(400, 8), "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = queries.op_queries()[name](spark, str(tmp_path))
+    database = duckdb.connect()
+    database.execute(f"CREATE VIEW {source} AS SELECT * FROM '{tmp_path}/{source}.parquet/*.parquet'")
+    found = database.execute(queries.op_sql()[name])
+    assert [c[0] for c in found.description] == df.columns
+    assert sorted(found.fetchall(), key=str) == sorted(map(tuple, df.collect()), key=str)
