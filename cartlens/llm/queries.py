@@ -174,7 +174,7 @@ def _op12_sql(levels: int = 7, above: int = 4) -> str:
     return f"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce('1' || lang, '0') AS g, {leaf("text")} AS h,
-         CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} END AS other
+         CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {leaf(lower)} END AS other
   FROM documents
 ), l0 AS MATERIALIZED (
   SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h, other NULLS FIRST) - 1 AS idx, h, count(*) OVER (PARTITION BY g) AS c, doc_id, other FROM d
