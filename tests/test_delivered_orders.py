@@ -22,6 +22,7 @@ def _check(name):
 # query: its figure, and that of the source
 FIGURES = {
     "q02_monthly_change_decomposition": (_total("delivered_orders"), WINDOW),
+    "q04_state_investigation": (_total("delivered_orders"), WINDOW),
 }
 
 
