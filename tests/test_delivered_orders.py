@@ -23,6 +23,7 @@ def _check(name):
 FIGURES = {
     "q02_monthly_change_decomposition": (_total("delivered_orders"), WINDOW),
     "q04_state_investigation": (_total("delivered_orders"), WINDOW),
+    "q06_month_state_delivery": (_total("delivered_orders"), WINDOW),
 }
 
 
