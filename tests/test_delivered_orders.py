@@ -10,11 +10,19 @@ DELIVERED = f"SELECT o.* FROM '{DIRECTORY}/orders.parquet' o WHERE o_orderstatus
 WINDOW = f"SELECT count(*) FROM ({DELIVERED}) WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-01' AND DATE '1997-07-31'"
 EMPTY = f"SELECT count(*) FROM ({DELIVERED}) WHERE o_orderkey NOT IN (SELECT l_orderkey FROM '{DIRECTORY}/lineitem.parquet')"
 
+FIRSTS = f"""
+SELECT sum(12 * year(first) + month(first)) FROM (SELECT min(o_orderdate) AS first FROM ({DELIVERED}) WHERE o_orderdate <= TIMESTAMP '1997-07-31 23:59:59' GROUP BY o_custkey)
+WHERE CAST(first AS DATE) BETWEEN DATE '1996-02-01' AND DATE '1997-07-31'"""
+
 
 def _total(column):
     return lambda rows: sum(row[column] for row in rows)
 
 
+def _months_of_cohorts(rows):
+    return sum(row["total_customers"] * (12 * int(row["cohort_month"][:4]) + int(row["cohort_month"][5:7])) for row in rows)
+
+
 def _check(name):
     return lambda rows: next(row["value"] for row in rows if row["check"] == name)
 
@@ -24,6 +32,7 @@ FIGURES = {
     "q02_monthly_change_decomposition": (_total("delivered_orders"), WINDOW),
     "q04_state_investigation": (_total("delivered_orders"), WINDOW),
     "q06_month_state_delivery": (_total("delivered_orders"), WINDOW),
+    "q10_repeat_cohort_30d": (_months_of_cohorts, FIRSTS),
 }
 
 
