@@ -33,6 +33,7 @@ FIGURES = {
     "q04_state_investigation": (_total("delivered_orders"), WINDOW),
     "q06_month_state_delivery": (_total("delivered_orders"), WINDOW),
     "q10_repeat_cohort_30d": (_months_of_cohorts, FIRSTS),
+    "quality_models": (_check("delivered.merchandise_missing"), EMPTY),
 }
 
 
