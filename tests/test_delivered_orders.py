@@ -14,6 +14,11 @@ FIRSTS = f"""
 SELECT sum(12 * year(first) + month(first)) FROM (SELECT min(o_orderdate) AS first FROM ({DELIVERED}) WHERE o_orderdate <= TIMESTAMP '1997-07-31 23:59:59' GROUP BY o_custkey)
 WHERE CAST(first AS DATE) BETWEEN DATE '1996-02-01' AND DATE '1997-07-31'"""
 
+MONTHS = f"""
+SELECT count(DISTINCT month(o_orderdate) + 12 * year(o_orderdate)) FROM ({DELIVERED})
+WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-02-01' AND DATE '1997-07-31'
+  AND o_orderkey NOT IN (SELECT l_orderkey FROM '{DIRECTORY}/lineitem.parquet')"""
+
 
 def _total(column):
     return lambda rows: sum(row[column] for row in rows)
@@ -34,6 +39,7 @@ FIGURES = {
     "q06_month_state_delivery": (_total("delivered_orders"), WINDOW),
     "q10_repeat_cohort_30d": (_months_of_cohorts, FIRSTS),
     "quality_models": (_check("delivered.merchandise_missing"), EMPTY),
+    "quality_analyses": (_check("analysis.q01.month_merchandise"), MONTHS),
 }
 
 
