@@ -52,3 +52,10 @@ def test_delivered_orders_without_lines_stay(spark, name):
     figure, source = FIGURES[name]
     assert _source(EMPTY) > 0
     assert figure(registry()[name](spark, DIRECTORY).collect()) == pytest.approx(_source(source))
+
+
+def test_summary_counts_the_checks_on_all_delivered_orders(spark):
+    checks = registry()["quality_models"](spark, DIRECTORY).collect()
+    assert any(check["check"] == "delivered.merchandise_missing" and not check["passed"] for check in checks)
+    failed = sum(check["severity"] == "error" and not check["passed"] for check in checks)
+    assert registry()["quality_summary"](spark, DIRECTORY).first()["blocking_failures"] == failed
