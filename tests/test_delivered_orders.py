@@ -40,6 +40,7 @@ FIGURES = {
     "q10_repeat_cohort_30d": (_months_of_cohorts, FIRSTS),
     "quality_models": (_check("delivered.merchandise_missing"), EMPTY),
     "quality_analyses": (_check("analysis.q01.month_merchandise"), MONTHS),
+    "quality_report_rows": (_check("delivered.merchandise_missing"), EMPTY),
 }
 
 
