@@ -28,6 +28,10 @@ def _months_of_cohorts(rows):
     return sum(row["total_customers"] * (12 * int(row["cohort_month"][:4]) + int(row["cohort_month"][5:7])) for row in rows)
 
 
+def _covered(rows):
+    return sum(row["duration_orders"] / row["duration_coverage"] for row in rows if row["duration_coverage"])
+
+
 def _check(name):
     return lambda rows: next(row["value"] for row in rows if row["check"] == name)
 
@@ -41,6 +45,7 @@ FIGURES = {
     "quality_models": (_check("delivered.merchandise_missing"), EMPTY),
     "quality_analyses": (_check("analysis.q01.month_merchandise"), MONTHS),
     "quality_report_rows": (_check("delivered.merchandise_missing"), EMPTY),
+    "metrics_days_by_state": (_covered, WINDOW),
 }
 
 
