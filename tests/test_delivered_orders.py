@@ -32,6 +32,10 @@ def _covered(rows):
     return sum(row["duration_orders"] / row["duration_coverage"] for row in rows if row["duration_coverage"])
 
 
+def _delivered(rows):
+    return sum(row["orders"] for row in rows if row["order_status"] == "delivered")
+
+
 def _check(name):
     return lambda rows: next(row["value"] for row in rows if row["check"] == name)
 
@@ -46,6 +50,7 @@ FIGURES = {
     "quality_analyses": (_check("analysis.q01.month_merchandise"), MONTHS),
     "quality_report_rows": (_check("delivered.merchandise_missing"), EMPTY),
     "metrics_days_by_state": (_covered, WINDOW),
+    "delivery_flags": (_delivered, f"SELECT count(*) FROM ({DELIVERED})"),
 }
 
 
