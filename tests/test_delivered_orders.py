@@ -51,6 +51,7 @@ FIGURES = {
     "quality_report_rows": (_check("delivered.merchandise_missing"), EMPTY),
     "metrics_days_by_state": (_covered, WINDOW),
     "delivery_flags": (_delivered, f"SELECT count(*) FROM ({DELIVERED})"),
+    "delivery_days_of_orders": (len, WINDOW),
 }
 
 
