@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from cartlens.sources.scratch import landed
 
+#: Binary digits of the rows in a stretch of a range.
+STRETCH_BITS = 16
 _SEQ = (1 << 33) - 1  # the bits of monotonically_increasing_id() that count within a partition
 
 
@@ -22,10 +24,16 @@ def in_ranges(df: DataFrame, order: list[Column], name: str, scratch: str | None
 
 
 def with_row_number(ranged: DataFrame) -> DataFrame:
-    """`no`: the place of each row of `in_ranges` in the whole order, from 0, without sorting again."""
+    """`no`: the place of each row of `in_ranges` in the whole order, from 0, without sorting again.
+
+    The rows meet the start of their range by stretches of it, so that no task takes whole ranges.
+    """
     sizes = ranged.groupBy("_range").agg(F.min("_seq").alias("_low"), F.count(F.lit(1)).alias("_n"))
     # one row for each range, not for each row
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_range", (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_low")).alias("_shift"))
-    joined = ranged.join(starts, "_range")
-    return joined.withColumn("no", F.col("_seq") + F.col("_shift")).drop("_range", "_seq", "_shift")
+    starts = sizes.select("_range", "_low", "_n", (F.coalesce(F.sum("_n").over(ahead), F.lit(0)) - F.col("_low")).alias("_shift"))
+    stretch = lambda seq: F.shiftright(seq, STRETCH_BITS)
+    held = F.sequence(stretch(F.col("_low")), stretch(F.col("_low") + F.col("_n") - 1))
+    starts = starts.select("_range", F.explode(held).alias("_stretch"), "_shift")
+    joined = ranged.withColumn("_stretch", stretch(F.col("_seq"))).join(starts, ["_range", "_stretch"])
+    return joined.withColumn("no", F.col("_seq") + F.col("_shift")).drop("_range", "_stretch", "_seq", "_shift")

@@ -2,8 +2,8 @@
 
 A line is what stands between two line feeds; a carriage return before one belongs to the line. Each task reads byte
 ranges. What depends on the lines before a range (its line numbers, whether it begins inside quotes) comes from one row
-for each range and a running sum over these rows, so a file of any size is read in parallel, and the result does not
-depend on how it was cut.
+for each stretch of a range (2^16 lines at most) and a running sum over these rows, so a file of any size is read in
+parallel, a shuffle deals stretches and not whole ranges, and the result does not depend on how the file was cut.
 """
 
 from __future__ import annotations
@@ -17,37 +17,42 @@ from cartlens.sources.scratch import landed
 
 #: Nodes that one digest of the tree covers.
 FAN = 256
+#: Binary digits of the lines in a stretch.
+STRETCH_BITS = 16
+#: What names a stretch of lines, in order within a file.
+PLACE = ["file", "cut", "stretch"]
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, cut, seq, value): `cut` is the start of the byte range, `seq` grows along it."""
-    return spark.read.option("lineSep", "\n").text(path).select(
+    """(file, cut, seq, value, stretch): `cut` is the start of the byte range, `seq` and `stretch` grow along it."""
+    found = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("cut"),
         F.monotonically_increasing_id().alias("seq"),
         "value",
     )
+    return found.withColumn("stretch", F.shiftright("seq", STRETCH_BITS))
 
 
 def landed_lines(
     spark: SparkSession, paths: list[str], column: Column, name: str, scratch: str | None = None
 ) -> DataFrame:
-    """(file, cut, seq, column) of the lines of files, written once, so that every reader sees the same ranges."""
-    frames = [lines(spark, path).select("file", "cut", "seq", column) for path in paths]
+    """(file, cut, stretch, seq, column) of the lines of files, written once, so that every reader sees the same ranges."""
+    frames = [lines(spark, path).select(*PLACE, "seq", column) for path in paths]
     return landed(reduce(DataFrame.unionByName, frames), name, scratch)
 
 
 def running(ranges: DataFrame, column: str) -> DataFrame:
-    """`before`: the sum of a column over the ranges of the file ahead of each one (one row for each range)."""
-    ahead = Window.partitionBy("file").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    """`before`: the sum of a column over the stretches of the file ahead of each one (one row for each stretch)."""
+    ahead = Window.partitionBy("file").orderBy("cut", "stretch").rowsBetween(Window.unboundedPreceding, -1)
     return ranges.withColumn("before", F.coalesce(F.sum(column).over(ahead), F.lit(0)))
 
 
 def numbered(digests: DataFrame) -> DataFrame:
-    """(file, no, digest) from landed (file, cut, seq, digest): line numbers from 0."""
-    ranges = digests.groupBy("file", "cut").agg(F.min("seq").alias("low"), F.count(F.lit(1)).alias("n"))
-    starts = running(ranges, "n").select("file", "cut", (F.col("before") - F.col("low")).alias("shift"))
-    joined = digests.join(starts, ["file", "cut"])
+    """(file, no, digest) from landed (file, cut, stretch, seq, digest): line numbers from 0."""
+    ranges = digests.groupBy(*PLACE).agg(F.min("seq").alias("low"), F.count(F.lit(1)).alias("n"))
+    starts = running(ranges, "n").select(*PLACE, (F.col("before") - F.col("low")).alias("shift"))
+    joined = digests.join(starts, PLACE)
     return joined.select("file", (F.col("seq") + F.col("shift")).alias("no"), "digest")
 
 

@@ -65,6 +65,19 @@ def test_quoted_files_read_by_ranges_equal_whole_files(spark, tmp_path, ranges_o
     assert len(want) == 300
 
 
+def test_lines_of_one_range_are_dealt_by_stretches(spark, tmp_path, ranges_of, monkeypatch):
+    for part in range(2):
+        write_rows(tmp_path / f"{part}.csv", [*random_rows(part, 150, part), (f"{part}-long", "x\n" * 40, '"')])
+    want = whole_files(spark, tmp_path)
+    ranges_of(1 << 20)
+    roots = sorted(row.root for row in content_hashes(spark, [str(tmp_path)]).collect())
+    monkeypatch.setattr(file_lines, "STRETCH_BITS", 3)
+    held = file_lines.lines(spark, str(tmp_path)).groupBy("file", "cut", "stretch").count().collect()
+    assert len(held) > 3 * len({(row.file, row.cut) for row in held}) and max(row["count"] for row in held) <= 8
+    assert sorted(map(tuple, read_quoted(spark, str(tmp_path), COLUMNS).collect())) == want
+    assert sorted(row.root for row in content_hashes(spark, [str(tmp_path)]).collect()) == roots
+
+
 def test_one_long_quoted_field_may_span_many_ranges(spark, tmp_path, ranges_of):
     rows = [("1", "x\n" * 3000, "y"), ("2", '"' * 501, "\n"), ("3", "", "end")]
     write_rows(tmp_path / "f.csv", rows)
