@@ -223,6 +223,32 @@ def test_exact_passages_meet_although_a_frequent_phrase_is_in_them(spark):
     assert len(set(zip(stretches, hashed.tolist(), strict=True))) == len(set(stretches)) == len(set(hashed.tolist()))
 
 
+def test_near_passages_meet_although_a_frequent_phrase_is_in_them(spark):
+    phrase, rows, partners = words(80, 45).split(), [], set()
+    for i in range(120):
+        rows.append((i, words(7000 + i, 60) + " " + " ".join(phrase) + " " + words(8000 + i, 60)))
+    for j in range(25):  # pairs that alone share 70 words but one, with no 50 words alike in a row
+        passage = words(9000 + j, 13).split() + phrase + words(10000 + j, 12).split()
+        for side in range(2):
+            passage[34] = f"changed{side}of{j}"
+            rows.append((1000 + 10 * j + 5 * side, words(11000 + 2 * j + side, 60) + " " + " ".join(passage) + " " + words(12000 + 2 * j + side, 60 + 7 * j * side)))
+        partners.add((1000 + 10 * j, 1005 + 10 * j))
+    found = passages.near_passages(spark.createDataFrame(random.Random(2).sample(rows, len(rows)), "doc_id long, text string")).collect()
+    assert {(r.a, r.b) for r in found} == partners
+    assert all(r.similarity >= 0.8 and min(r.end_a - r.start_a, r.end_b - r.start_b) >= 50 for r in found)
+
+
+def test_windows_of_crowded_values_are_compared_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(passages, "CROWD", 2)
+    shared, rows = words(81, 30), []
+    for i in range(12):
+        text = (words(13000 + i // 2, 20) + " " + shared + " " + words(14000 + i // 2, 20)).split()
+        text[35] = f"other{i}"  # neighbours differ in one word of 70
+        rows.append((f"key{i:02d}", " ".join(text)))
+    found = passages.passage_classes(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {f"key{i:02d}": f"key{i // 2 * 2:02d}" for i in range(12)}
+
+
 def test_shards_are_even_and_gapless(spark, docs, none, texts):
     rows = [(i, words(i, 5 + i % 90) if i % 3 else "copy " * 30, None) for i in range(900)]
     found = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string, shard int")).toPandas()
