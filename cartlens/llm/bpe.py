@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding of whole texts with a published vocabulary.
 
-Merging keeps the symbols of a piece in a doubly linked list and the mergeable pairs in a priority
-queue ordered by (merge rank, position). A queue entry whose symbols have changed since is stale and
-skipped. Decoding concatenates the vocabulary strings.
+Merging takes the leftmost pair of least merge rank, again and again. A short piece keeps the ranks of its pairs in a list. A longer
+one keeps its symbols in a doubly linked list and the mergeable pairs in a priority queue ordered by (merge rank, position); a queue
+entry whose symbols have changed since is stale and skipped. Decoding concatenates the vocabulary strings.
 
 Every task reads the vocabulary file once. A text is cut at white space, where no token can span, and a task remembers what
 it has encoded: few whole chunks, and more of the pieces that chunks consist of, each as the bytes that are joined and
@@ -37,10 +37,14 @@ WHITE = re.compile(r"[^\S\x1c-\x1f]+")
 #: Bits that hold an id.
 SHIFT = 20
 MASK = (1 << SHIFT) - 1
-#: Chunks that a worker remembers, pieces in each of its two generations, and characters of the longest of them: about 40 MB.
-CHUNKS = 20_000
-PIECES = 60_000
+#: Chunks that a worker remembers, pieces in each of its two generations, and characters of the longest of them: about 70 MB.
+CHUNKS = 40_000
+PIECES = 100_000
 LONGEST = 48
+#: Bytes of a piece up to which its pairs are searched as a list.
+SHORT = 64
+#: Above every rank: a pair that is not merged.
+NONE = 1 << 62
 
 
 def _byte_letters() -> list[str]:
@@ -80,6 +84,8 @@ class WordPairEncoder:
         text[-1] += self.end
         symbols = [self.ids[x] for x in text]
         n, rank_of = len(symbols), self.merges.get
+        if n <= SHORT:
+            return self._merge_short(symbols)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         queue = []  # rank and merged symbol, then position, in one integer
         for i in range(n - 1):
@@ -102,6 +108,19 @@ class WordPairEncoder:
                     heapq.heappush(queue, found * n + first)
         return [s for s in symbols if s >= 0]
 
+    def _merge_short(self, symbols: list[int]) -> list[int]:
+        rank_of = self.merges.get
+        ranks = [rank_of(a << SHIFT | b, NONE) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (found := min(ranks)) != NONE:
+            i = ranks.index(found)
+            symbols[i] = found & MASK
+            del symbols[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of(symbols[i] << SHIFT | symbols[i + 1], NONE)
+            if i:
+                ranks[i - 1] = rank_of(symbols[i - 1] << SHIFT | symbols[i], NONE)
+        return symbols
+
     def piece(self, piece: str) -> tuple[bytes, bytes]:
         """Ids and vocabulary strings of a piece, each joined by one space."""
         if (found := self.known.get(piece)) is None:

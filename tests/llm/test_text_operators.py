@@ -65,6 +65,14 @@ def test_bpe_equals_the_tokenizers_library(docs, none, texts):
     assert len(found[8]) == 2 and bpe.encode_decode(none, path).count() == 0
 
 
+def test_short_pieces_are_merged_as_long_ones(monkeypatch):
+    encoder = bpe.WordPairEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = ["a", "aaaaaaa", "banana", "mississippi", "x" * 64, "ab" * 31, "größe", "東京都", *words(90, 400).split()]
+    short = [encoder.merge(x) for x in pieces]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [encoder.merge(x) for x in pieces] == short
+
+
 def test_main_text_drops_what_is_no_article_and_site_templates(spark):
     page = "<html><body><nav><a>menu</a></nav><div class='x'>Join our list</div>{}<footer>f</footer></body></html>"
     plain = "<p>T&eacute;xt  {0}\n here<br>two</p><p>more<section id=comments><p>c</p></section><script>'</p>'</script>"
