@@ -257,6 +257,59 @@ def test_windows_of_crowded_values_are_compared_across_blocks(spark, monkeypatch
     assert {r.doc_id: r.class_id for r in found} == {f"key{i:02d}": f"key{i // 2 * 2:02d}" for i in range(12)}
 
 
+def test_shingles_are_written_once_a_document_however_many_stretches_are_verified(spark, monkeypatch):
+    rows = []
+    for i in range(24):  # near copies that are not alike in where they differ, so that their stretches differ
+        text = words(82, 400).split()
+        for at in range(10 + i, 400, 55):
+            text[at] = f"other{i}at{at}"
+        rows.append((i, " ".join(text)))
+    sizes, write = {}, passages.written
+
+    def counted(df, name):
+        made = write(df, name)
+        if name.endswith("shingles"):
+            sizes[name] = made.count()
+        return made
+
+    monkeypatch.setattr(passages, "written", counted)
+    found = passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == dict.fromkeys(range(24), 0)
+    assert sizes and max(sizes.values()) == 24
+
+
+def test_windows_of_values_beyond_a_block_lose_no_class(spark, monkeypatch):
+    monkeypatch.setattr(passages, "CROWD", 2)
+    monkeypatch.setattr(passages, "BLOCK", 4)
+    shared, rows = words(84, 30), []
+    for i in range(18):  # pairs that differ in one word of 70, and texts that share only the phrase
+        own = i // 2 if i < 12 else 100 + i
+        text = (words(15000 + own, 20) + " " + shared + " " + words(16000 + own, 20)).split()
+        text[35] = f"other{i}"
+        rows.append((f"key{i:02d}", " ".join(text)))
+    found = passages.passage_classes(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {f"key{i:02d}": f"key{i // 2 * 2:02d}" for i in range(12)}
+
+
+def test_windows_without_hope_are_left_out_and_no_class_is_lost():
+    rng, names = random.Random(83), np.random.default_rng(83).integers(0, 1 << 63, 200).astype(np.uint64)
+    held, root = [], []
+    for i in range(60):  # a frequent stretch in all; every third one shares its whole window with the next but for some places
+        seed = np.random.default_rng(i // 3 * 3 if i % 3 < 2 else 1000 + i)
+        window = np.concatenate((seed.integers(0, 1 << 63, 25).astype(np.uint64), names[:30], seed.integers(0, 1 << 63, 25).astype(np.uint64)))
+        window[rng.sample(range(80), 4)] = np.random.default_rng(5000 + i).integers(0, 1 << 63, 4).astype(np.uint64)
+        held.append(window)
+        root.append(i)
+    left = passages.hopeful(np.array(root), held)
+    assert sorted(left.tolist()) == [i for i in range(60) if i % 3 < 2]
+    n = len(held)
+    blocks = {"_i": np.zeros(n, dtype=int), "_j": np.zeros(n, dtype=int), "_own": np.zeros(n, dtype=int)}
+    rows = {"root": np.array(root), "doc": np.array(root), "l": np.zeros(n, dtype=int), "held": np.array([x.tobytes() for x in held], dtype=object)}
+    made = passages.compare(rows | blocks)
+    near = {(i, j) for i in range(n) for j in range(i + 1, n) if passages.common(held[i], held[j])}
+    assert near == set(zip(made["a"], made["b"], strict=True)) == {(i, i + 1) for i in range(0, 60, 3)}
+
+
 def test_shards_are_even_and_gapless(spark, docs, none, texts):
     rows = [(i, words(i, 5 + i % 90) if i % 3 else "copy " * 30, None) for i in range(900)]
     found = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string, shard int")).toPandas()
