@@ -310,6 +310,45 @@ def test_windows_without_hope_are_left_out_and_no_class_is_lost():
     assert near == set(zip(made["a"], made["b"], strict=True)) == {(i, i + 1) for i in range(0, 60, 3)}
 
 
+def test_windows_in_loops_are_few_and_those_of_one_document_never_meet(spark):
+    text = words(85, 60) + " again" * 400 + " one two three" * 100 + " " + words(86, 60)
+    df = spark.createDataFrame([(1, text), (2, words(87, 90))], "_key long, _text string")
+    made = passages.windows(df, range(passages.HASHES)).collect()
+    most = max(1 + len(r.more or ()) for r in made)
+    assert most <= 4 < passages.CROWD < max(r.n for r in made)  # the others stand for hundreds
+    assert passages.gathered(passages.windows(df, range(passages.HASHES))).count() == 0
+
+
+def test_classes_do_not_depend_on_loops_around_what_is_shared(spark):
+    rows = []
+    for i in range(40):  # all have the loop, pairs of them what follows it; no stretch is shared but by them
+        tail = words(16000 + i // 2, 46).split()
+        tail[23] = f"other{i}"
+        rows.append((i, words(17000 + i, 60) + " more" * (38 if i < 20 else 30) + " and so on" * 3 + " " + " ".join(tail) + " " + words(18000 + i, 60)))
+    for i in range(40, 46):  # long loops whose words are their own, and a shared end
+        rows.append((i, f" own{i}" * (200 + i) + " " + words(19000 + i // 2, 52) + " " + words(20000 + i, 50)))
+    found = passages.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: i // 2 * 2 for i in range(46)}
+
+
+def test_bounds_of_different_shingles_hold_for_every_stretch():
+    rng = np.random.default_rng(88)
+    for top in (2, 5, 20, 200):
+        x = np.repeat(rng.integers(0, top, 40), rng.integers(1, 5, 40))[:70]
+        gain, loss, slack = passages.weights(x, len(x) - len(set(x.tolist())))
+        mark = np.isin(x, rng.integers(0, top, top))
+        enough = False
+        for i in range(len(x)):
+            for j in range(i + 1, len(x) + 1):
+                for some in (mark, ~mark):
+                    n = len(set(x[i:j][some[i:j]].tolist()))
+                    assert loss[i:j][some[i:j]].sum() - 1e-9 <= n <= slack + gain[i:j][some[i:j]].sum()
+                both, others = (len(set(x[i:j][m[i:j]].tolist())) for m in (mark, ~mark))
+                enough |= j - i >= 46 and both >= 4 * others
+        assert passages.filled(mark, gain, loss, slack) or not enough
+    assert not passages.filled(np.arange(70) < 36, *passages.weights(np.concatenate((np.zeros(36, dtype=int), np.arange(1, 35))), 35))
+
+
 def test_shards_are_even_and_gapless(spark, docs, none, texts):
     rows = [(i, words(i, 5 + i % 90) if i % 3 else "copy " * 30, None) for i in range(900)]
     found = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string, shard int")).toPandas()
